@@ -48,7 +48,9 @@ class Machine:
         self.kept, self.w0, self.w, self.v, self.a, self.b = kept, w0, w, v, a, b
         self.slot = None
 
-    def slots(self, ids: set[int]) -> np.ndarray:
+    def slots(self, ids: set[int] | np.ndarray) -> np.ndarray:
+        if isinstance(ids, np.ndarray):
+            return np.searchsorted(self.kept, np.intersect1d(self.kept, ids))
         if self.slot is None:
             self.slot = {int(k): i for i, k in enumerate(self.kept)}
         return np.fromiter((self.slot[i] for i in sorted(self.slot.keys() & ids)), dtype=np.int64)
@@ -64,11 +66,11 @@ class Machine:
 NOTHING = Machine(np.zeros(0, np.int64), 0.0, np.zeros(0), np.zeros((0, FACTORS)), 0.0, -30.0)
 
 
-def _telling(rows: list[set[int]], y: np.ndarray) -> np.ndarray:
+def _telling(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """Buckets by their log-likelihood ratio with the label, the best KEPT of those above chance."""
-    ids = np.concatenate([np.fromiter(r, dtype=np.int64, count=len(r)) for r in rows] or [np.zeros(0, np.int64)])
-    of = np.repeat(y, [len(r) for r in rows])
-    pos, neg = np.bincount(ids[of == 1], minlength=1 << BITS), np.bincount(ids[of == 0], minlength=1 << BITS)
+    pos, neg = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
+    for r, label in zip(rows, y):
+        (pos if label else neg)[r] += 1
     n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
     seen = pos + neg
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -80,7 +82,7 @@ def _telling(rows: list[set[int]], y: np.ndarray) -> np.ndarray:
     return np.sort(best[g[best] > 6])
 
 
-def train(rows: list[set[int]], y: np.ndarray, weight: np.ndarray, epochs: int = 12, seed: int = 7) -> Machine:
+def train(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int = 12, seed: int = 7) -> Machine:
     """Adagrad over single rows; a fifth of them is kept apart for the calibration (Platt)."""
     if not len(y) or y.min() == y.max():
         return NOTHING
@@ -151,11 +153,12 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_
     picked = spark.createDataFrame([(r[0], r[1]) for r in sample], "doc_id long, toxic int")
     # the sample's size is bounded by the two parameters, so it may be broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text").mapInArrow(_hashed, "toxic int, terms array<int>")
-    got = rows.collect()
-    order = sorted(range(len(got)), key=lambda i: zlib.crc32(repr(got[i].terms[:40]).encode()))
-    y = np.array([got[i].toxic for i in order], dtype=float)
+    got = rows.toArrow()
+    held = [x.values.to_numpy() for x in got.column("terms")]  # arrays of 32-bit buckets, sorted
+    order = sorted(range(len(held)), key=lambda i: zlib.crc32(held[i].tobytes()))
+    y = got.column("toxic").to_numpy().astype(float)[order]
     weight = np.where(y == 1, counts.get(1, 0) / max(1, y.sum()), counts.get(0, 0) / max(1, (1 - y).sum()))
-    return train([set(got[i].terms) for i in order], y, weight / max(weight.mean(), 1e-9) if len(y) else weight)
+    return train([held[i] for i in order], y, weight / max(weight.mean(), 1e-9) if len(y) else weight)
 
 
 def score(docs: DataFrame, machine: Machine, flag: Column | None = None, keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
