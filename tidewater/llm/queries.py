@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from tidewater.llm import bpe, chat, decontaminate, htmltext, langid, neardup, toxicity
+from tidewater.llm import bpe, chat, decontaminate, htmltext, langid, neardup, shards, topk, toxicity
 
 QUERIES = {
     "op1_language_id": langid.op1,
     "op2_toxicity": toxicity.op2,
     "op3_html_extraction": htmltext.op3,
+    "op4_sharding": shards.op4,
     "op5_chat_formatting": chat.op5,
     "op6_decontamination": decontaminate.op6,
     "op8_near_duplicates": neardup.op8,
     "op9_bpe": bpe.op9,
+    "op10_topk_search": topk.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_sharding": shards.OP4_SQL}
