@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewater.llm import bpe, chat, decontaminate, htmltext, langid, neardup, shards, topk, toxicity
+from tidewater.llm import bpe, chat, decontaminate, htmltext, langid, neardup, pii, shards, topk, toxicity
 
 QUERIES = {
     "op1_language_id": langid.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_sharding": shards.op4,
     "op5_chat_formatting": chat.op5,
     "op6_decontamination": decontaminate.op6,
+    "op7_pii": pii.op7,
     "op8_near_duplicates": neardup.op8,
     "op9_bpe": bpe.op9,
     "op10_topk_search": topk.op10,
