@@ -51,6 +51,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_fields(schema, ddl: str):
+    """A schema with more fields, which ddl names; whole, however wide the types are."""
+    from pyspark.sql.types import StructType
+
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """row_, all columns of docs in one, and text_: nothing that an operator adds can clash with them."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_"), F.col("text").alias("text_"))
+
+
+def unpacked(rows: DataFrame, names: list[str]) -> DataFrame:
+    return rows.select(*(F.col("row_")[c].alias(c) for c in names))
+
+
 def third(id_col: str) -> Column:
     """crc32(id as text) mod 3; 0 where the id is null."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3, F.lit(0))

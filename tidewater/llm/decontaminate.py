@@ -178,12 +178,17 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[DataFra
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """keep columns, n_words, spans (array of [start, end) of words hit) and items (array of ids, sorted) of each document."""
-    spark = docs.sparkSession
+    """keep columns of docs, n_words, spans (array of [start, end) of words hit) and items (array of ids, sorted)."""
+    return searched(docs.select(*keep, F.col("text").alias("text_")), benchmark, size, block_bytes)
+
+
+def searched(rows: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows with n_words, spans and items in the place of their last column, text_."""
+    spark = rows.sparkSession
     common.bound_batches(spark)
     spans_type = pa.list_(pa.list_(pa.int64()))
-    rows = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col("text").alias("text_"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<array<bigint>>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    rows = rows.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<array<bigint>>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    schema = rows.schema
     for block in blocks(benchmark, block_bytes):
         # a block's size is bounded by block_bytes
         sent = spark.sparkContext.broadcast(Windows([(r[0], r[1]) for r in block.collect()], size))
@@ -205,7 +210,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id
                     yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(shard.sizes), pa.array(spans, spans_type), pa.array(items, pa.list_(pa.string()))], names=b.schema.names)
 
         rows = rows.mapInArrow(run, schema)
-    return rows.drop("text_").withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
+    return rows.drop("text_")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -227,6 +232,5 @@ def op6(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of the benchmark, with their columns."""
-    names = docs.columns
-    found = hits(docs.withColumn("text_kept", F.col("text")), common.table(spark, sf_dir, "benchmark"), keep=tuple("text_kept" if c == "text" else c for c in names))
-    return found.filter(F.size("spans") == 0).withColumnRenamed("text_kept", "text").select(*names)
+    found = searched(common.packed(docs), common.table(spark, sf_dir, "benchmark"))
+    return common.unpacked(found.filter(F.size("spans") == 0), docs.columns)

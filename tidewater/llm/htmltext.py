@@ -37,6 +37,9 @@ _HINT = re.compile(
     re.I,
 )
 
+#: Names such as has-sidebar tell of what stands elsewhere.
+_ABOUT = re.compile(r"(?:^|(?<=\s))(?:has|with|without|no|is)[_-]\S+", re.I)
+
 FEATURES = ("words", "link_density", "prev_words", "prev_density", "next_words", "next_density", "hinted", "edge", "article", "heading", "item")
 
 
@@ -128,7 +131,7 @@ def blocks(page: str | None, label_attr: str = "") -> list[Block]:
             stack.pop()
         up = stack[-1] if stack else base
         attrs = m[3] or ""
-        hint = tag in _BOILER or bool(attrs) and any(_HINT.search(next(filter(None, a), "")) for a in _ATTR.findall(attrs))
+        hint = tag in _BOILER or bool(attrs) and tag not in ("html", "body", "main", "article") and any(_HINT.search(_ABOUT.sub(" ", next(filter(None, a), ""))) for a in _ATTR.findall(attrs))
         label = re.search(rf'{label_attr}="(\w+)"', attrs) if label_attr else None
         stack.append(_Open(tag, up.hinted or hint, up.edge or (tag in _EDGE and (tag == "footer" or not up.article)), up.article or tag in ("article", "main"), label[1] if label else up.label))
         if tag == "a":

@@ -87,7 +87,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], level: int = LEVEL
     common.bound_batches(docs.sparkSession)
     cols = [F.col(id_col)] + ([flag.alias("held_out")] if flag is not None else [])
     rows = docs.select(*cols, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", lang_pred string, score double, margin double"
+    schema = common.with_fields(rows.drop("text").schema, "lang_pred string, score double, margin double")
     return rows.mapInArrow(_predict(dictionaries, level), schema)
 
 

@@ -280,7 +280,9 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(a.at, s.end).alias("at"), F.when(fresh, piece).otherwise(a.out).alias("out"))
 
     text = F.aggregate("pii_spans", start, step, lambda a: F.concat(a.out, F.substr(F.col("text"), a.at + 1, F.length("text"))))
-    return found(docs).withColumn("text", F.when(F.size("pii_spans") > 0, text).otherwise(F.col("text"))).drop("pii_base", "pii_spans")
+    rows = found(common.packed(docs).withColumnRenamed("text_", "text"))
+    out = rows.select("row_", F.when(F.size("pii_spans") > 0, text).otherwise(F.col("text")).alias("text"))
+    return out.select(*(F.col("text") if c == "text" else F.col("row_")[c].alias(c) for c in docs.columns))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

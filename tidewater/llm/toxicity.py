@@ -161,19 +161,21 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_
     return train([held[i] for i in order], y, weight / max(weight.mean(), 1e-9) if len(y) else weight)
 
 
-def score(docs: DataFrame, machine: Machine, flag: Column | None = None, keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """Score in 0..1 of every row's whole text, and 1 where it is at least the threshold."""
-    common.bound_batches(docs.sparkSession)
-    cols = [F.col(c) for c in keep or ["doc_id"]] + ([flag.alias("held_out")] if flag is not None else [])
-    rows = docs.select(*cols, F.col("text").alias("text_"))
+def score(docs: DataFrame, machine: Machine, flag: Column | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, score in 0..1 of every row's whole text, and predicted: 1 where it is at least the threshold."""
+    return scored(docs.select("doc_id", *([flag.alias("held_out")] if flag is not None else []), F.col("text").alias("text_")), machine, threshold)
+
+
+def scored(rows: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows with score and predicted in the place of their last column, text_."""
+    common.bound_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [machine.score(terms(t)) for t in b.column("text_").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.float64()), pa.array([int(s >= threshold) for s in found], pa.int32())], names=[*b.schema.names[:-1], "score", "predicted"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{schema}, score double, predicted int")
+    return rows.mapInArrow(run, common.with_fields(rows.drop("text_").schema, "score double, predicted int"))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
@@ -184,5 +186,4 @@ def op2(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't predicted toxic, with their columns."""
     machine = fit(docs, common.table(spark, sf_dir, "labels"))
-    names = docs.columns
-    return score(docs, machine, keep=names).filter("predicted = 0").select(*names)
+    return common.unpacked(scored(common.packed(docs), machine).filter("predicted = 0"), docs.columns)
