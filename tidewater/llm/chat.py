@@ -2,7 +2,7 @@
 
 A log of events (conv_id, seq, kind, msg_id, role, text) is partitioned by conversation and sorted
 by sequence; each conversation's events are folded into its final messages, which are then rendered.
-Kinds: `message` adds a whole message; `delta` appends to message msg_id, opening it if need be;
+Kinds: `message` adds a whole message, the first of its msg_id being the one that others refer to; `delta` appends to message msg_id, opening it if need be;
 `edit` replaces its text; `regenerate` empties it and drops the messages after it, for new deltas;
 `delete` removes it. The fold streams through sorted rows and holds one conversation at a time.
 
@@ -72,7 +72,7 @@ def fold(events) -> list[tuple[str, str]]:
     for i, (kind, msg_id, role, text) in enumerate(events):
         text, key = text or "", ("id", msg_id)
         if kind == "message":
-            messages[("row", i)] = [role or "", [text]]
+            messages[("row", i) if key in messages else key] = [role or "", [text]]
         elif kind == "delta":
             messages.setdefault(key, [role or "", []])[1].append(text)
         elif key in messages:

@@ -157,5 +157,3 @@ def op4(spark, sf_dir: str) -> DataFrame:
     rows = store.read() if store.manifest()["shards"] else docs.limit(0)
     return rows.select("doc_id", "lang", "source", "n_chars", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
-
-OP4_SQL = "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents"
