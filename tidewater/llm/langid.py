@@ -25,6 +25,8 @@ UNKNOWN = "und"
 SAMPLE_ROWS, PIECE_CHARS, DICTIONARY_BYTES = 900, 200, 96 << 10
 #: Lower levels search the dictionary too little to tell close languages apart.
 LEVEL = 6
+#: Texts are encoded in pieces of so many bytes, or else a long text would be its own dictionary; all pieces count.
+CHUNK_BYTES = 1500
 
 
 def fit(train: DataFrame, rows: int = SAMPLE_ROWS, piece: int = PIECE_CHARS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
@@ -71,7 +73,8 @@ def _predict(dictionaries: dict[str, bytes], level: int):
                     langs.append(UNKNOWN), scores.append(0.0), margins.append(0.0)
                     continue
                 raw = text.lower().encode("utf-8", "replace")
-                sizes = sorted((len(c.compress(raw)), lang) for lang, c in coders)
+                chunks = [raw[i : i + CHUNK_BYTES] for i in range(0, len(raw), CHUNK_BYTES)]
+                sizes = sorted((sum(len(c.compress(x)) for x in chunks), lang) for lang, c in coders)
                 second = sizes[1][0] if len(sizes) > 1 else None
                 langs.append(sizes[0][1])
                 scores.append(margin_score(sizes[0][0], second))
