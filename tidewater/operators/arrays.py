@@ -116,9 +116,20 @@ def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def gram(df: DataFrame, vector: str, size: int) -> DataFrame:
-    """(i, j, v) of X'X for rows of vectors of one known size, without a join: sums by cell in one pass."""
-    cells = F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda p: F.struct((p / size).cast("int").alias("i"), (p % size).alias("j"), (F.get(vector, (p / size).cast("int")).cast("double") * F.get(vector, p % size).cast("double")).alias("p")))
-    return df.select(F.inline(cells)).groupBy("i", "j").agg(F.sum("p").alias("v"))
+    """(i, j, v) of X'X for rows of vectors of one known size: dense products by Arrow batch, then sums of the cells."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        total = np.zeros((size, size))
+        for b in batches:
+            x = np.array(b.column(0).to_pylist(), dtype=float).reshape(-1, size)
+            total += x.T @ x
+        i, j = np.indices((size, size)).reshape(2, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total.ravel())], names=["i", "j", "p"])
+
+    rows = df.select(F.col(vector).cast("array<double>").alias("x")).filter(F.size("x") == size)
+    return rows.mapInArrow(run, "i int, j int, p double").groupBy("i", "j").agg(F.sum("p").alias("v"))
 
 
 def outer(a: DataFrame, b: DataFrame, index_a: str = "i", index_b: str = "i") -> DataFrame:

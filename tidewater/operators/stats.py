@@ -17,14 +17,29 @@ BY_NAME: dict[str, Callable[[str], Column]] = {
 
 
 def reduce(df: DataFrame, spec: dict[str, str | list[str]], keys: list[str] | None = None, dropna: bool = True) -> DataFrame:
-    """spec: column to aggregate names; results are named column_aggregate. Rows with a null key are left out if dropna."""
-    aggs = [BY_NAME[a](c).alias(f"{c}_{a}") for c, names in spec.items() for a in ([names] if isinstance(names, str) else names)]
+    """spec: column to aggregate names; results are named column_aggregate. Rows with a null key are left out if dropna.
+
+    Distinct counts are made apart from the others and joined by key: together, all aggregates would
+    be kept for each key and value first.
+    """
+    wanted = [(c, a) for c, names in spec.items() for a in ([names] if isinstance(names, str) else names)]
+    agg = lambda c, a: BY_NAME[a](c).alias(f"{c}_{a}")
     if not keys:
-        return df.agg(*aggs)
+        return df.agg(*(agg(c, a) for c, a in wanted))
     if dropna:
         for k in keys:
             df = df.filter(F.col(k).isNotNull())
-    return df.groupBy(*keys).agg(*aggs)
+    plain, apart = [w for w in wanted if w[1] != "nunique"], [w for w in wanted if w[1] == "nunique"]
+    if not plain or not apart:
+        return df.groupBy(*keys).agg(*(agg(c, a) for c, a in wanted))
+    out = df.groupBy(*keys).agg(*(agg(c, a) for c, a in plain))
+    for c, a in apart:
+        own = df.groupBy(*(F.col(k).alias(f"key_{k}") for k in keys)).agg(agg(c, a))
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"key_{k}"))
+        out = out.join(own, same).drop(*(f"key_{k}" for k in keys))
+    return out.select(*keys, *(f"{c}_{a}" for c, a in wanted))
 
 
 def first(c: str, order: str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import itertools
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,16 +20,24 @@ class Engine:
     SELECT f(columns) FROM ... calls a registered Python function on whole columns.
     """
 
-    _number = itertools.count()
-
     def __init__(self, spark: SparkSession, sf_dir: str | None = None):
         self.spark = spark
         self.udfs: dict[str, tuple[Callable, list[int], str]] = {}
-        if sf_dir:
-            tables.register(spark, sf_dir)
+        self.sf_dir = sf_dir
+        self.tables: dict[str, DataFrame] = {}
 
     def register_table(self, name: str, df: DataFrame) -> None:
-        df.createOrReplaceTempView(name)
+        self.tables[name] = df
+
+    def _views(self, sql: str) -> None:
+        """Views of the tables that the text names; a folder's files are listed once, and only for these."""
+        words = set(re.findall(r"[a-z_]\w*", sql.lower()))
+        for name in tables.PARQUET:
+            if self.sf_dir and name in words and name not in self.tables:
+                self.tables[name] = tables.load(self.spark, self.sf_dir, name)
+        for name, df in self.tables.items():
+            if name.lower() in words:
+                df.createOrReplaceTempView(name)
 
     def register_udf(self, func: Callable, param_count_list: list[int], returns: str = "result double", name: str | None = None) -> None:
         """func gets a pandas frame (or Series, for one column) for each number in param_count_list and gives a scalar, tuple, Series or frame.
@@ -48,6 +56,7 @@ class Engine:
         return self.udfs[name]
 
     def query(self, sql: str, max_iterations: int = 10) -> DataFrame:
+        self._views(sql)
         if r := sqlfront.recursive(sql):
             return self._recursive(r, max_iterations)
         if c := sqlfront.table_call(sql, list(self.udfs)):

@@ -87,7 +87,7 @@ _sql("sql_distinct", "SELECT DISTINCT l_returnflag, l_linestatus, CAST(l_quantit
 _sql("sql_nested", "SELECT o_custkey, n FROM (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey) t WHERE n > (SELECT AVG(m) FROM (SELECT COUNT(*) AS m FROM orders GROUP BY o_custkey) u)")
 _sql("sql_case", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'middle' ELSE 'low' END AS class FROM orders")
 _sql("sql_having", "SELECT c_nationkey, COUNT(*) AS n, ROUND(MAX(c_acctbal) - MIN(c_acctbal), 2) AS spread FROM customer GROUP BY c_nationkey HAVING COUNT(*) > 5")
-_sql("sql_exists", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+_sql("sql_exists", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)")
 
 _PATHS = """WITH RECURSIVE cte_paths (src, target, distance, lvl) AS (
   SELECT src, target, distance, CAST(1 AS BIGINT) FROM distances WHERE src = 1
