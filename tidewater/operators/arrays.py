@@ -24,8 +24,9 @@ def from_numpy(spark: SparkSession, a: np.ndarray) -> DataFrame:
 def to_numpy(a: DataFrame) -> np.ndarray:
     """On the driver: for arrays of known, small size."""
     rows = a.toPandas()
-    out = np.zeros((int(rows.i.max()) + 1, int(rows.j.max()) + 1)) if len(rows) else np.zeros((0, 0))
-    out[rows.i, rows.j] = rows.v
+    i, j = (rows[c].to_numpy().astype(int) for c in a.columns if c != "v")
+    out = np.zeros((int(i.max()) + 1, int(j.max()) + 1)) if len(rows) else np.zeros((0, 0))
+    out[i, j] = rows["v"]
     return out
 
 

@@ -257,3 +257,11 @@ def pivot_table(df: DataFrame, index: str, columns: str, values: str, aggregate:
 def align(left: DataFrame, right: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     keys = left.select(key).union(right.select(key)).distinct()
     return keys.join(left, key, "left"), keys.join(right, key, "left")
+
+
+def combine(left: DataFrame, right: DataFrame, key: str, func: Callable[[Column, Column], Column], fill=None) -> DataFrame:
+    """func of both sides' values of each shared column, rows matched by key; missing values are `fill`."""
+    shared = [c for c in left.columns if c in right.columns and c != key]
+    out = left.alias("l").join(right.alias("r"), F.col(f"l.{key}") == F.col(f"r.{key}"), "full")
+    side = lambda s, c: F.col(f"{s}.{c}") if fill is None else F.coalesce(F.col(f"{s}.{c}"), F.lit(fill))
+    return out.select(F.coalesce(F.col(f"l.{key}"), F.col(f"r.{key}")).alias(key), *(func(side("l", c), side("r", c)).alias(c) for c in shared))

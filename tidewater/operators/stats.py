@@ -12,7 +12,7 @@ from tidewater.functions import aggregates
 #: Aggregates of the frame interface by name: nulls are skipped, deviations are of samples.
 BY_NAME: dict[str, Callable[[str], Column]] = {
     "sum": lambda c: F.coalesce(F.sum(c), F.lit(0)), "prod": lambda c: F.coalesce(F.product(F.col(c)), F.lit(1.0)), "min": F.min, "max": F.max, "count": F.count, "mean": F.avg, "var": F.var_samp, "std": F.stddev_samp, "sem": aggregates.sem,
-    "any": lambda c: F.bool_or(F.col(c).cast("boolean")), "all": lambda c: F.bool_and(F.col(c).cast("boolean")), "nunique": F.count_distinct, "median": F.median, "list": lambda c: F.collect_list(c), "size": lambda c: F.count(F.lit(1)), "skew": F.skewness, "kurt": F.kurtosis,
+    "any": lambda c: F.bool_or(F.col(c).cast("boolean")), "all": lambda c: F.bool_and(F.col(c).cast("boolean")), "nunique": F.count_distinct, "median": F.median, "list": lambda c: F.collect_list(c), "unique": lambda c: F.array_sort(F.collect_set(c)), "size": lambda c: F.count(F.lit(1)), "skew": F.skewness, "kurt": F.kurtosis,
 }
 
 

@@ -148,3 +148,20 @@ def partition_sizes(df: DataFrame) -> DataFrame:
 
 def get_partition(df: DataFrame, n: int) -> DataFrame:
     return df.filter(F.spark_partition_id() == n)
+
+
+def repartition_by_freq(df: DataFrame, ts: str, unit: str, partitions: int | None = None) -> DataFrame:
+    """Dealt by ranges of time, a unit (day, month) never split over two partitions."""
+    at = F.date_trunc(unit, F.col(ts))
+    return df.repartitionByRange(partitions, at) if partitions else df.repartitionByRange(at)
+
+
+def repartition_by_size(df: DataFrame, partition_bytes: int) -> DataFrame:
+    """As many partitions as Spark's estimate of the size asks for."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(max(1, -(-size // partition_bytes)))
+
+
+def ohlc(c: str, order: str) -> dict[str, Column]:
+    """Aggregates for resample(): open, high, low, close."""
+    return {"open": F.min_by(c, order), "high": F.max(c), "low": F.min(c), "close": F.max_by(c, order)}

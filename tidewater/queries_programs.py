@@ -40,3 +40,56 @@ def _datalog(spark, d):
 @_query("fn_lambda", "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN FLOOR(o_totalprice) * 2 ELSE ABS(o_totalprice - 1) END AS v FROM orders")
 def _lambda(spark, d):
     return _t(spark, d, "orders").select("o_orderkey", convert("lambda p: floor(p) * 2 if p > 100000 else abs(p - 1)", ["o_totalprice"]).alias("v"))
+
+
+# Further operators ----------------------------------------------------------------------------------------
+
+
+@_query("ra_sparse_index")
+def _sparse(spark, d):
+    from tidewater.operators import joins
+
+    _, index = joins.sparse_index(_t(spark, d, "orders").select("o_orderkey"), "o_orderkey", 4)
+    return joins.merge_boundaries(index)
+
+
+@_query("df_resample_ohlc", "SELECT user_id, date_trunc('day', ts) AS ts, arg_min(value, event_id) AS open, MAX(value) AS high, MIN(value) AS low, arg_max(value, event_id) AS close FROM events GROUP BY ALL")
+def _ohlc(spark, d):
+    from tidewater.operators import windows
+
+    return windows.resample(_t(spark, d, "events"), "ts", "1 day", windows.ohlc("value", "event_id"), ["user_id"], empty=False)
+
+
+@_query("arr_einsum", f"SELECT a.src AS i, b.target AS k, CAST(SUM(a.distance * b.distance) AS DOUBLE) AS v FROM ({tables.DISTANCES_SQL}) a, ({tables.DISTANCES_SQL}) b WHERE a.target = b.src GROUP BY a.src, b.target")
+def _einsum(spark, d):
+    from pyspark.sql import functions as F
+
+    from tidewater.operators import arrays_more
+
+    m = tables.distances(_t(spark, d, "nation")).select(F.col("src").alias("i"), F.col("target").alias("j"), F.col("distance").cast("double").alias("v"))
+    return arrays_more.einsum("ij,jk->ik", m, m)
+
+
+@_query("arr_percentile", "SELECT q, ROUND(quantile_cont(o_totalprice, p), 4) AS v FROM orders, (VALUES (10.0::DOUBLE, 0.1), (50.0::DOUBLE, 0.5), (99.0::DOUBLE, 0.99)) t(q, p) GROUP BY q, p".replace("quantile_cont(o_totalprice, p)", "CASE q WHEN 10 THEN quantile_cont(o_totalprice, 0.1) WHEN 50 THEN quantile_cont(o_totalprice, 0.5) ELSE quantile_cont(o_totalprice, 0.99) END"))
+def _percentile(spark, d):
+    from pyspark.sql import functions as F
+
+    from tidewater.operators import arrays_more
+
+    return arrays_more.percentile(_t(spark, d, "orders").select(F.col("o_totalprice").alias("v")), [10.0, 50.0, 99.0]).withColumn("v", F.round("v", 4))
+
+
+@_query("df_normality")
+def _normality(spark, d):
+    from tidewater.operators import arrays_more
+
+    return _t(spark, d, "orders").agg(arrays_more.skewtest("o_totalprice").alias("skew"), arrays_more.kurtosistest("o_totalprice").alias("kurtosis"), arrays_more.normaltest("o_totalprice").alias("k2"))
+
+
+@_query("df_groupby_unique", "SELECT o_custkey, list_sort(list(DISTINCT o_orderstatus)) AS o_orderstatus_unique FROM orders GROUP BY o_custkey".replace("list_sort(list(DISTINCT o_orderstatus))", "array_to_string(list_sort(list(DISTINCT o_orderstatus)), ',')"))
+def _group_unique(spark, d):
+    from pyspark.sql import functions as F
+
+    from tidewater.operators import stats
+
+    return stats.reduce(_t(spark, d, "orders"), {"o_orderstatus": "unique"}, ["o_custkey"]).withColumn("o_orderstatus_unique", F.array_join("o_orderstatus_unique", ","))
