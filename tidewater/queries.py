@@ -112,8 +112,8 @@ _sql("sql_recursive_tree", _TREE)
 @_query("udf_quantile", "SELECT ROUND(quantile_cont(l_quantity, 0.25), 6) AS q FROM lineitem WHERE l_discount > 0.05")
 def _udf_quantile(spark, d):
     e = Engine(spark, d)
-    e.register_udf(lambda s: round(float(s.quantile(0.25)), 6), [1], "q double", "myQuantile")
-    return e.query("SELECT myQuantile(l_quantity) FROM lineitem WHERE l_discount > 0.05")
+    e.register_udf(lambda s: round(float(s.quantile(0.25)), 6), [1], "q double", "lower_quartile")
+    return e.query("SELECT lower_quartile(l_quantity) FROM lineitem WHERE l_discount > 0.05")
 
 
 @_query("udf_linear_fit", "SELECT ROUND(regr_slope(l_extendedprice, l_quantity), 4) AS slope, ROUND(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept FROM lineitem")
@@ -163,8 +163,8 @@ def _udf_cg(spark, d):
         return tuple(map(float, x))
 
     e = Engine(spark, d)
-    e.register_udf(cg, [1, 1], "slope double, intercept double", "myConjugateGradOpt")
-    return e.query("SELECT myConjugateGradOpt(o_orderkey, o_totalprice) FROM orders")
+    e.register_udf(cg, [1, 1], "slope double, intercept double", "conjugate_gradient")
+    return e.query("SELECT conjugate_gradient(o_orderkey, o_totalprice) FROM orders")
 
 
 # Relational algebra -----------------------------------------------------------------------------------

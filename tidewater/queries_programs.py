@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tidewater.functions.convert import convert
 from tidewater.plans import datalog
-from tidewater.plans.myrial import Interpreter
+from tidewater.plans.programs import Interpreter
 from tidewater.queries import ORACLE_SQL, QUERIES, _query, _t
 from tidewater.sources import tables
 
