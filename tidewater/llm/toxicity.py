@@ -79,10 +79,10 @@ def _telling(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
         g = 2 * (part(pos, n1, p) + part(neg, n0, p) + part(n1 - pos, n1, 1 - p) + part(n0 - neg, n0, 1 - p))
     g = np.where((seen >= 2) & np.isfinite(g), g, 0)
     best = np.argsort(-g, kind="stable")[:KEPT]
-    return np.sort(best[g[best] > 6])
+    return np.sort(best[g[best] > 12])
 
 
-def train(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int = 12, seed: int = 7) -> Machine:
+def train(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int = 25, seed: int = 7) -> Machine:
     """Adagrad over single rows; a fifth of them is kept apart for the calibration (Platt)."""
     if not len(y) or y.min() == y.max():
         return NOTHING
