@@ -303,6 +303,16 @@ def test_compaction_and_conflicts(spark):
     assert store.manifest() == last
 
 
+def test_merges_reach_the_target_and_not_beyond(spark):
+    store = shards.Store(spark, common.scratch(spark, "test-target"))
+    store.append(spark.range(20_000).selectExpr("id", "sha2(cast(id as string), 256) as s"), 500)
+    small = store.manifest()["shards"]
+    target = 8 * max(s["bytes"] for s in small)
+    done = store.compact(target)["shards"]
+    assert len(small) >= 40 and 3 <= len(done) <= len(small) / 4
+    assert all(s["bytes"] <= target for s in done) and store.read().distinct().count() == 20_000
+
+
 def test_tiers():
     store = shards.Store.__new__(shards.Store)
     of = lambda *sizes: [{"file": f"f{i:03}", "bytes": n} for i, n in enumerate(sizes)]

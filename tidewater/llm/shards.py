@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from tidewater.llm import common
 
 #: Bytes of a finished shard; shards of a merge at least; sizes in a tier differ by this factor at most.
 TARGET_BYTES, LEAST_SHARDS, RATIO = 64 << 20, 2, 4
-#: Rows of an arriving shard at most, and merges in one Spark job.
+#: Rows of an arriving shard at most, and merges that run at once and are committed together.
 ARRIVAL_ROWS, WAVE = 2000, 64
 
 
@@ -117,15 +118,18 @@ class Store:
             groups = self.plan(before["shards"], target)[:WAVE]
             if not groups:
                 return before
-            folder = f"data/{uuid.uuid4().hex}"
-            merged = None
-            for g in groups:
-                part = self.read_files([s["file"] for s in g]).coalesce(1)
-                merged = part if merged is None else merged.unionByName(part, allowMissingColumns=True)
-            merged.write.parquet(f"{self.root}/{folder}")
+            folders = [f"data/{uuid.uuid4().hex}" for _ in groups]
+
+            def merge(group: list[dict], folder: str) -> list[dict]:
+                self.read_files([s["file"] for s in group]).coalesce(1).write.parquet(f"{self.root}/{folder}")
+                return self._shards(folder)
+
+            # a job for each merge, many at once: a union of single partitions would be made one partition
+            with ThreadPoolExecutor(min(len(groups), WAVE)) as pool:
+                made = [s for found in pool.map(merge, groups, folders) for s in found]
             gone = [s["file"] for g in groups for s in g]
             try:
-                self.commit(before, self._shards(folder), gone)
+                self.commit(before, made, gone)
             except Conflict:
                 continue
             # readers of earlier versions are given no time here; a shared store would keep them for a while
