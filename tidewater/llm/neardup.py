@@ -12,6 +12,9 @@ only those links leave. Lists longer than LONG are cut into blocks and each pair
 group of its own, so that no group grows with the data. Components come from alternating large-star
 and small-star steps, each written to the shared folder.
 
+The pipeline's stage goes by the texts themselves: five-word shingles with a Jaccard similarity of
+0.8 or more, found exactly (`near_copies`).
+
 Defined results: null and empty texts have fingerprint zero, linked like any other. A null doc_id
 links but is nobody's component; component_id is null where no id is reachable. Repeated rows get
 one result each. Extra columns are left out.
@@ -19,7 +22,9 @@ one result each. Extra columns are left out.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -30,29 +35,39 @@ from tidewater.llm import common
 
 SHINGLE, BITS, SEED = 3, 3, 42
 LONG = 2048
+#: The pipeline's stage: words of a shingle, least Jaccard similarity.
+WORDS, SIMILARITY = 5, "0.8"
+#: Lists up to SHORT give all pairs at once. One text in SAMPLED tells which hashes OFTEN texts or more have, of which the MOST frequent are kept.
+SHORT, SAMPLED, OFTEN, MOST = 64, 10, 50, 500_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _TRIPLES = [(h + a, h + b, h + c) for h in (0, 4) for a, b, c in ((0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3))]
 #: Ids of classes that have no doc_id start here.
 _NAMELESS = 1 << 62
 
 
-def fingerprint(text: str | None) -> int:
-    """SimHash of the text's shingles; hashes are counted in pieces, so that memory stays small for long texts."""
+def _hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of the text's shingles in pieces, so that memory stays small for long texts; a text of fewer words is one shingle."""
     import xxhash
 
     w = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
     if not w:
-        return 0
+        return
     line = b" ".join(w)
-    n = max(1, len(w) - SHINGLE + 1)
+    n = max(1, len(w) - shingle + 1)
     ends = np.cumsum(np.fromiter(map(len, w), dtype=np.int64, count=len(w)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
-    stops = ends[min(SHINGLE, len(w)) - 1 :].tolist()
+    stops = ends[min(shingle, len(w)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    total = np.zeros(64, np.int64)
     for i in range(0, n, 65536):
-        h = np.array([digest(line[a:b], SEED) for a, b in zip(starts[i : i + 65536], stops[i : i + 65536])], dtype="<u8")
+        yield np.array([digest(line[a:b], SEED) for a, b in zip(starts[i : i + 65536], stops[i : i + 65536])], dtype="<u8")
+
+
+def fingerprint(text: str | None) -> int:
+    """SimHash of the text's shingles."""
+    total, n = np.zeros(64, np.int64), 0
+    for h in _hashes(text, SHINGLE):
         total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
     return int.from_bytes(np.packbits(2 * total > n, bitorder="little").tobytes(), "little")
 
 
@@ -166,11 +181,184 @@ def op8(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# Near copies by shingle sets, for the pipeline --------------------------------------------------------
+
+
+def shingles(text: str | None, shingle: int = WORDS) -> np.ndarray:
+    """The sorted set of the hashes of the text's shingles."""
+    return np.unique(np.concatenate([np.zeros(0, "<u8"), *_hashes(text, shingle)]))
+
+
+def similar(x: np.ndarray, y: np.ndarray, least: Fraction) -> bool:
+    """Whether the Jaccard similarity of two sets is at least that; of two empty ones it is 1."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= least * (len(x) + len(y) - both)
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of rows sorted by the first one, cut where it changes."""
+    rest: list[np.ndarray] | None = None
+    for b in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        if rest is not None:
+            columns = [np.concatenate(p) for p in zip(rest, columns)]
+        cut = np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1
+        rest = [c[cut[-1] :] for c in columns] if len(cut) else columns
+        if len(cut):
+            yield [c[: cut[-1]] for c in columns]
+    if rest is not None and len(rest[0]):
+        yield rest
+
+
+def _batch(names: str, *columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names.split())
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, id, n, at) those whose key has others, with the length of its list."""
+    for key, *rest in _whole(batches):
+        _, of, m = np.unique(key, return_inverse=True, return_counts=True)
+        m = m[of]
+        if (m > 1).any():
+            yield _batch("key id n at m", *(c[m > 1] for c in (key, *rest, m)))
+
+
+def _may(n: np.ndarray, at: np.ndarray, i, j, least: Fraction) -> np.ndarray:
+    """Whether members i and j of a list can be similar, by their sizes and the places of the shared hash in them."""
+    t, s = least.numerator, least.denominator
+    most = np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j])
+    return (s * np.minimum(n[i], n[j]) >= t * np.maximum(n[i], n[j])) & ((s + t) * most >= t * (n[i] + n[j]))
+
+
+def _first_pairs(least: Fraction):
+    """All pairs of each list of at most SHORT; of longer ones each member with the first and the next in an order of the list's own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, id_, n, at in _whole(batches):
+            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.concatenate([begin, [len(key)]]))
+            i, j = [], []
+            for m in np.unique(size[size <= SHORT]).tolist():
+                x, y = np.triu_indices(m, 1)
+                i.append((begin[size == m, None] + x).ravel())
+                j.append((begin[size == m, None] + y).ravel())
+            for s, m in zip(begin[size > SHORT].tolist(), size[size > SHORT].tolist()):
+                order = s + np.argsort((id_[s : s + m].view("u8") ^ key[s : s + 1].view("u8")) * np.uint64(0x9E3779B97F4A7C15), kind="stable")
+                i += [order[:-1], np.repeat(order[:1], m - 1)]
+                j += [order[1:], order[1:]]
+            i, j = np.concatenate(i), np.concatenate(j)
+            good = _may(n, at, i, j, least) & (id_[i] != id_[j])
+            a, b = id_[i[good]], id_[j[good]]
+            yield _batch("a b", np.minimum(a, b), np.maximum(a, b))
+
+    return run
+
+
+def _other_pairs(least: Fraction):
+    """Of lists with rows (key, id, n, at, root): all pairs of members that no link has joined yet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, *columns in _whole(batches):
+            for part in np.split(np.arange(len(key)), np.flatnonzero(key[1:] != key[:-1]) + 1):
+                roots, of, count = np.unique(columns[3][part], return_inverse=True, return_counts=True)
+                part = part[np.argsort(of == count.argmax(), kind="stable")]  # members of the largest component meet only the others
+                id_, n, at, root = (c[part] for c in columns)
+                for i in range(len(part) - int(count.max())):
+                    j = np.arange(i + 1, len(part))
+                    j = j[_may(n, at, i, j, least) & (root[j] != root[i])]
+                    if len(j):
+                        yield _batch("a b", np.minimum(id_[i], id_[j]), np.maximum(id_[i], id_[j]))
+
+    return run
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, shingle: int, least: Fraction) -> DataFrame:
+    """Those of pairs (a, b) whose texts in rows(id, text) are similar."""
+    pairs = common.written(pairs.distinct(), "pairs")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    texts = common.written(rows.join(ids, "id", "left_semi"), "texts")
+    of = lambda k: texts.select(F.col("id").alias(k), F.col("text").alias(f"text_{k}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+        for batch in batches:
+            good = []
+            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+                for i, t in ((a, x), (b, y)):
+                    if i not in known:
+                        if len(known) >= 64:
+                            known.clear()
+                        known[i] = shingles(t, shingle)
+                good.append(similar(known[a] if a in known else shingles(x, shingle), known[b], least))
+            good = np.array(good, dtype=bool)
+            yield _batch("a b", *(batch.column(c).to_numpy()[good] for c in ("a", "b")))
+
+    met = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b")
+    return met.mapInArrow(run, "a long, b long")
+
+
+def frequent(rows: DataFrame, shingle: int) -> np.ndarray:
+    """Hashes that many texts have, by a sample; sorted. Their choice bears on the time only, not on the pairs found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _batch("key", np.concatenate([np.zeros(0, "<u8"), *(shingles(t, shingle) for t in b.column("text").to_pylist())]).view("<i8"))
+
+    sample = rows.filter(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(SAMPLED)) == 0).select("text").mapInArrow(run, "key long")
+    counts = sample.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * SAMPLED >= OFTEN)
+    keys = counts.orderBy(F.desc("n"), "key").limit(MOST).select("key").toArrow().column("key").to_numpy()
+    return np.sort(keys.view("<u8"))
+
+
+def near_copies(rows: DataFrame, shingle: int = WORDS, similarity: str = SIMILARITY) -> DataFrame:
+    """id and component (its least id) of each row of rows(id, text); ids are distinct.
+
+    Texts are linked where the Jaccard similarity of their sets of shingles is at least that. Of two
+    such sets, each in one order of all hashes, the first n - ceil(similarity n) + 1 have a hash in
+    common. So the lists of those hashes, rare ones first, give all pairs, and each is verified.
+    Texts with the same set are one class. Long lists give only as many pairs as members at first;
+    the rest of their pairs are taken where the links so found haven't joined the two.
+    """
+    spark, least = rows.sparkSession, Fraction(similarity)
+    common.bound_batches(spark)
+    often = spark.sparkContext.broadcast(frequent(rows, shingle))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            sets = [shingles(t, shingle) for t in b.column("text").to_pylist()]
+            first = []
+            for s in sets:
+                rare = ~np.isin(s, often.value, assume_unique=True)
+                first.append(np.concatenate([s[rare], s[~rare]])[: len(s) - math.ceil(least * len(s)) + 1].view("<i8"))
+            ends = np.cumsum([0, *map(len, first)])
+            keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, "<i8"), *first])))
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), keys], names=["id", "same", "n", "keys"])
+
+    sets = common.written(rows.select("id", "text").mapInArrow(run, "id long, same binary, n long, keys array<long>"), "sets")
+    classes = common.written(sets.groupBy("same").agg(F.min("id").alias("id")), "classes")
+    index = sets.join(classes.select("id"), "id", "left_semi").select(F.posexplode("keys").alias("at", "key"), "id", "n").select("key", "id", "n", F.col("at").cast("long").alias("at"))
+    by_key = lambda df: df.repartition("key").sortWithinPartitions("key")
+    lists = common.written(by_key(index).mapInArrow(_shared, "key long, id long, n long, at long, m long"), "lists")
+    links = common.written(_verified(by_key(lists.drop("m")).mapInArrow(_first_pairs(least), "a long, b long"), rows, shingle, least), "links")
+    roots = components(links)
+    long_lists = lists.filter(F.col("m") > SHORT).drop("m")
+    if not long_lists.isEmpty():
+        known = long_lists.join(roots, "id", "left").select("key", "id", "n", "at", F.coalesce("root", "id").alias("root"))
+        more = _verified(by_key(known).mapInArrow(_other_pairs(least), "a long, b long"), rows, shingle, least)
+        roots = components(roots.select(F.col("root").alias("a"), F.col("id").alias("b")).union(more))
+    of = classes.join(roots, "id", "left").select("same", F.coalesce("root", "id").alias("component"))
+    return sets.select("id", "same").join(of, "same").select("id", "component")
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, that with the smallest doc_id; documents without an id stay."""
-    found = near_duplicates(docs)
-    drop = common.written(found.filter("doc_id is not null and doc_id <> component_id").select("doc_id").distinct(), "copies")
-    kept = docs.join(drop, "doc_id", "left_anti")
-    if not docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
-        kept = kept.filter("doc_id is null").unionByName(kept.filter("doc_id is not null").dropDuplicates(["doc_id"]))
-    return kept.select(*docs.columns)
+    """One document of each component of near copies, that with the smallest doc_id; one without an id only where all are."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_"), F.col("text"), F.col("doc_id").cast("long").alias("doc_id"))
+    rows = common.written(rows.withColumn("id", F.monotonically_increasing_id()), "rows")
+    found = near_copies(rows.select("id", "text")).join(rows.select("id", "doc_id"), "id")
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "id")
+    found = common.written(found.select("component", order.alias("o")), "components")
+    groups = found.groupBy("component").agg(F.min("o").alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    drop = common.written(found.join(groups, "component").filter("o <> kept").select("o.id"), "copies")
+    return common.unpacked(rows.join(drop, "id", "left_anti"), docs.columns)
