@@ -68,3 +68,10 @@ def test_stage_drops_planted_near_copies(spark, changes):
     far = [f"z{i}" if i % 12 == 5 else w for i, w in enumerate(text)]
     docs = spark.createDataFrame([(7, " ".join(copy)), (3, " ".join(text)), (9, " ".join(far))], "doc_id long, text string")
     assert sorted(x.doc_id for x in neardup.stage(spark, docs, "").collect()) == [3, 9]
+
+
+def test_rows_are_dropped_not_ids(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [(1, a), (5, a), (5, b), (None, c), (None, c), (None, c)]
+    got = neardup.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, c), (1, a), (5, b)]

@@ -353,11 +353,14 @@ def near_copies(rows: DataFrame, shingle: int = WORDS, similarity: str = SIMILAR
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies, that with the smallest doc_id; one without an id only where all are."""
+    """One document of each component of near copies, that with the smallest doc_id; one without an id only where all are.
+
+    Rows are numbered and dropped by number: what shares a doc_id with a copy, or has none, is judged by its own text.
+    """
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_"), F.col("text"), F.col("doc_id").cast("long").alias("doc_id"))
     rows = common.written(rows.withColumn("id", F.monotonically_increasing_id()), "rows")
-    found = near_copies(rows.select("id", "text")).join(rows.select("id", "doc_id"), "id")
-    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "id")
+    found = near_copies(rows.select("id", "text")).join(rows.select("id", "doc_id", F.xxhash64("text").alias("hash")), "id")
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "hash", "id")
     found = common.written(found.select("component", order.alias("o")), "components")
     groups = found.groupBy("component").agg(F.min("o").alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     drop = common.written(found.join(groups, "component").filter("o <> kept").select("o.id"), "copies")
