@@ -29,9 +29,9 @@ i AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY i
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(s, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN i ON d.doc_id = i.doc_id"""
 
-OP10 = """WITH f AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS j FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
-bad AS (SELECT DISTINCT vec_id FROM f WHERE x IS NULL OR NOT isfinite(x)),
-v AS (SELECT vec_id, list(CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) ORDER BY j) AS e FROM f WHERE vec_id NOT IN (SELECT vec_id FROM bad) GROUP BY vec_id),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e) AS score FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e))
+OP10 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT DISTINCT vec_id, e FROM v WHERE vec_id % 50 = 0),
+s AS (SELECT q.vec_id AS query_id, q.e AS qe, c.vec_id AS vec_id, list_inner_product(q.e, c.e) AS score FROM q, v c WHERE c.vec_id <> q.vec_id AND len(q.e) = len(c.e))
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5"""
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id, qe ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5"""
