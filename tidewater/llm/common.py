@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,15 +19,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches of bounded rows and bytes, so that long texts don't fill a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Arrow batches of bounded rows and bytes, so that long texts don't fill a worker's memory.
+
+    Plans take the limits when they run, so they stay set; limits that are lower already aren't raised.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key).lower().rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Only where the session names none, as in tests on one machine, a temporary folder is set.
+    Only where the session names none and runs in one process, as in tests, a temporary folder is set;
+    on a cluster that is refused, as other machines wouldn't see it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -35,20 +43,64 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(base)
         return base.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidewater-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
+#: Paths that scratch() has given out and clear() hasn't deleted.
+_given: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _given.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _given[-1]
+
+
+def clear(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Deletes the scratch tables given out after the first `since`, but for those to keep; what still reads them fails."""
+    for path in _given[since:]:
+        if path not in keep:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _given[since:] = [p for p in _given[since:] if p in keep]
+
+
+def given() -> int:
+    """How many scratch paths are given out, for clear()."""
+    return len(_given)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: lineage ends there and lost executors lose nothing."""
+    return written_at(df, name)[0]
+
+
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As written(), and the table's path."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+#: A key with more rows than this is joined by broadcast: there are at most HOT_KEYS such keys, whatever the table's size.
+HOT_ROWS, HOT_KEYS = 200_000, 10_000
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, n: str = "n", hot: int = HOT_ROWS) -> DataFrame:
+    """many joined with one, which has a row for each key and, as n, how many rows of many have it; n is left out.
+
+    Keys of over `hot` rows don't meet in a task: their rows of `one` are broadcast, HOT_KEYS at most.
+    """
+    top, total = one.agg(F.max(n), F.sum(n)).first()
+    if (top or 0) <= hot:
+        return many.join(one.drop(n), key)
+    least = max(hot, total // HOT_KEYS)
+    heavy, light = one.filter(F.col(n) > least).drop(n), one.filter(F.col(n) <= least).drop(n)
+    rest = many.join(F.broadcast(heavy.select(key)), key, "left_anti")
+    return many.join(F.broadcast(heavy), key).unionByName(rest.join(light, key))
 
 
 def with_fields(schema, ddl: str):

@@ -7,11 +7,14 @@ label in the training sample have weight 0, so that a long text isn't swamped by
 
 Defined results: null and empty texts get the score of the bias alone. Rows repeat as they came.
 Rows without a label teach nothing; a doc_id labelled twice counts as toxic if either says so. With
-no label of one class at all every score is 0. Extra columns of the input are left out.
+no label of one class among the documents at all, every score is 0 and a warning says so. Very long
+texts count whole, as sets of terms. Ties in the sample's order don't matter: such rows are equal.
+An empty table gives no rows. Extra columns of the input are left out.
 """
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Iterator
 
@@ -133,27 +136,31 @@ def platt(z: np.ndarray, t: np.ndarray, wt: np.ndarray) -> tuple[float, float]:
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = [sorted(terms(t)) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(out, pa.list_(pa.int32()))], names=["toxic", "terms"])
+        yield pa.RecordBatch.from_arrays([b.column("toxic"), b.column("spot"), pa.array(out, pa.list_(pa.int32()))], names=["toxic", "spot", "terms"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Machine:
     """A machine from labelled rows whose crc32(doc_id) mod 3 isn't 1.
 
-    Bound: at most toxic_rows and clean_rows labelled rows, chosen by a hash of doc_id; only their
-    hashed terms come to the driver. Labels of rows that docs hasn't are of no use and are skipped.
+    Bound: at most toxic_rows and clean_rows labelled rows of docs, chosen by a hash of doc_id, then of
+    the row where an id repeats; only their hashed terms come to the driver. Labels of rows that docs
+    hasn't are left out before the choice.
     """
     spark = docs.sparkSession
     common.bound_batches(spark)
     known = labels.filter("doc_id is not null and toxic is not null").filter(~common.held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    known = common.written(known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi"), "labelled")
     counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     spot = F.xxhash64("doc_id", F.lit("sample"))
     sample = [r for label, n in ((1, toxic_rows), (0, clean_rows)) for r in known.filter(F.col("toxic") == label).orderBy(spot, "doc_id").limit(n).collect()]
-    if not sample:
+    if len({r[1] for r in sample}) < 2:
+        warnings.warn("no labelled document of one class: every score is 0", stacklevel=2)
         return NOTHING
     picked = spark.createDataFrame([(r[0], r[1]) for r in sample], "doc_id long, toxic int")
     # the sample's size is bounded by the two parameters, so it may be broadcast
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text").mapInArrow(_hashed, "toxic int, terms array<int>")
-    got = rows.toArrow()
+    spot = F.xxhash64("doc_id", "text", F.lit("row"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("toxic", spot.alias("spot"), "text").mapInArrow(_hashed, "toxic int, spot long, terms array<int>")
+    got = pa.concat_tables([rows.filter(F.col("toxic") == label).orderBy("spot").limit(n).drop("spot").toArrow() for label, n in ((1, toxic_rows), (0, clean_rows))])
     held = [x.values.to_numpy() for x in got.column("terms")]  # arrays of 32-bit buckets, sorted
     order = sorted(range(len(held)), key=lambda i: zlib.crc32(held[i].tobytes()))
     y = got.column("toxic").to_numpy().astype(float)[order]
