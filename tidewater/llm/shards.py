@@ -5,11 +5,14 @@ compaction groups shards of similar size (within a factor RATIO of each other),
 the target size and merges each group into one shard, by one task that streams through its files;
 nothing is shuffled. A manifest names all shards of a version; it appears by one rename that fails
 if that version exists, so readers see the old or the new set of shards and never a mixture, and of
-two writers one tries again. Files of failed or lost attempts are named by no manifest.
+two writers one tries again, RETRIES times at most. Files of failed or lost attempts are named by no
+manifest. A compaction deletes nothing, so that every version stays readable and open readers go on;
+`vacuum` deletes what only versions before the last few name, and what none names.
 
 Defined results: rows come back whole, with all columns, nulls, repeated rows and extra columns
 included; their order isn't kept. An empty append adds no shard. A store without a manifest is
-empty and has no schema: reading it raises FileNotFoundError. Column names that clash with those of
+empty and has no schema: reading it raises FileNotFoundError, as does a version that vacuum has
+ended. Long texts make a shard larger, never cut. Shards of equal size go by file name. Column names that clash with those of
 earlier shards are by name the same columns; missing ones read as null.
 """
 
@@ -20,6 +23,7 @@ import math
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +33,8 @@ from tidewater.llm import common
 TARGET_BYTES, LEAST_SHARDS, RATIO = 64 << 20, 2, 4
 #: Rows of an arriving shard at most, and merges that run at once and are committed together.
 ARRIVAL_ROWS, WAVE = 2000, 64
+#: Times that a writer tries again after another one has committed first.
+RETRIES = 100
 
 
 class Conflict(RuntimeError):
@@ -52,13 +58,16 @@ class Store:
         return sorted((s.getPath().getName(), s.getLen()) for s in fs.listStatus(path)) if fs.exists(path) else []
 
     def version(self) -> int:
-        return max((int(n[1:-5]) for n, _ in self._list("manifests") if n.startswith("v") and n.endswith(".json")), default=0)
+        return max(self.versions(), default=0)
 
     def manifest(self, version: int | None = None) -> dict:
         version = self.version() if version is None else version
         if version == 0:
             return {"version": 0, "shards": []}
-        stream = self._fs().open(self._path(f"manifests/v{version:010d}.json"))
+        path = self._path(f"manifests/v{version:010d}.json")
+        if not self._fs().exists(path):
+            raise FileNotFoundError(f"{self.root}: no version {version}")
+        stream = self._fs().open(path)
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
@@ -76,8 +85,10 @@ class Store:
         options = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0)
         try:
             self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("").toUri(), self.conf).rename(draft, final, options)
-        except Exception as e:
+        except Py4JJavaError as e:
             self._fs().delete(draft, False)
+            if "FileAlreadyExistsException" not in str(e.java_exception.getClass().getName()):
+                raise
             raise Conflict(f"version {now['version']} exists") from e
         return now
 
@@ -88,11 +99,14 @@ class Store:
         """Adds rows as small shards of at most arrival_rows rows."""
         folder = f"data/{uuid.uuid4().hex}"
         rows.write.option("maxRecordsPerFile", arrival_rows).parquet(f"{self.root}/{folder}")
-        while True:
+        made = self._shards(folder)
+        for attempt in range(RETRIES + 1):
             try:
-                return self.commit(self.manifest(), self._shards(folder), [])
+                return self.commit(self.manifest(), made, [])
             except Conflict:
-                continue
+                if attempt == RETRIES:
+                    raise
+        raise AssertionError
 
     def plan(self, shards: list[dict], target: int = TARGET_BYTES) -> list[list[dict]]:
         """Groups of shards to merge: of one size tier each, of about the target's size or less together."""
@@ -112,7 +126,8 @@ class Store:
         return [g for g in groups if len(g) >= LEAST_SHARDS]
 
     def compact(self, target: int = TARGET_BYTES) -> dict:
-        """Merges tier by tier until no tier has enough small shards. Each wave of merges is a version."""
+        """Merges tier by tier until no tier has enough small shards. Each wave of merges is a version; old files stay."""
+        lost = 0
         while True:
             before = self.manifest()
             groups = self.plan(before["shards"], target)[:WAVE]
@@ -130,11 +145,36 @@ class Store:
             gone = [s["file"] for g in groups for s in g]
             try:
                 self.commit(before, made, gone)
+                lost = 0
             except Conflict:
-                continue
-            # readers of earlier versions are given no time here; a shared store would keep them for a while
-            for name in gone:
-                self._fs().delete(self._path(name), False)
+                lost += 1
+                if lost > RETRIES:
+                    raise
+
+    def versions(self) -> list[int]:
+        return [int(n[1:-5]) for n, _ in self._list("manifests") if n.startswith("v") and n.endswith(".json")]
+
+    def vacuum(self, retain: int = 1) -> list[str]:
+        """Ends all versions but the last `retain` and deletes shards that none of these names. Returns the shards deleted.
+
+        Not for use while another writer appends or compacts: what it hasn't committed yet is named by no manifest.
+        """
+        if retain < 1:
+            raise ValueError("retain at least the last version")
+        kept, ended = self.versions()[-retain:], self.versions()[:-retain]
+        named = {s["file"] for v in kept for s in self.manifest(v)["shards"]}
+        for v in ended:  # first the manifests: a version that can be opened can be read
+            self._fs().delete(self._path(f"manifests/v{v:010d}.json"), False)
+        gone = []
+        for folder, _ in self._list("data"):
+            files = [s["file"] for s in self._shards(f"data/{folder}")]
+            for name in files:
+                if name not in named:
+                    self._fs().delete(self._path(name), False)
+                    gone.append(name)
+            if not named.intersection(files):
+                self._fs().delete(self._path(f"data/{folder}"), True)
+        return gone
 
     def read_files(self, files: list[str]) -> DataFrame:
         return self.spark.read.option("mergeSchema", "true").parquet(*(f"{self.root}/{f}" for f in files))
