@@ -12,6 +12,8 @@ colons of roles inside role and text are escaped by a backslash, reversibly.
 Defined results: null text and role are empty. Events that tie in sequence go by kind, msg_id, role,
 text; repeated rows repeat. Edits, regenerations and deletions of unknown messages, and events of
 unknown kinds, change nothing. A null conv_id is a conversation of its own. Empty table: no rows.
+Texts of any length are rendered whole; one conversation is held by one task, as its digest is of
+its whole text in order. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -151,7 +153,30 @@ def events_of(conversations: DataFrame) -> DataFrame:
     return conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("seq"), F.lit("message").alias("kind"), F.col("turn").cast("string").alias("msg_id"), "role", "text")
 
 
+def streamed(conv_id: int, turns: list[tuple[str, str]]) -> list[tuple]:
+    """A log that ends in these turns: drafts that are edited, an answer that is regenerated, then streamed in small pieces."""
+    log: list[tuple] = []
+
+    def add(kind: str, msg_id: str | None, role: str | None, text: str | None) -> None:
+        log.append((conv_id, len(log), kind, msg_id, role, text))
+
+    for i, (role, text) in enumerate(turns):
+        if role != LOSS_ROLE:
+            add("message", f"m{i}", role, text[::-1] + " draft")
+            add("edit", f"m{i}", role, text)
+            continue
+        add("delta", f"m{i}", role, "a first answer")
+        add("message", f"m{i}x", "user", "a question that goes with it")
+        add("regenerate", f"m{i}", None, None)
+        for at in range(0, len(text), 5):
+            add("delta", f"m{i}", role, text[at : at + 5])
+        add("message", f"m{i}y", "user", "sent by mistake")
+        add("delete", f"m{i}y", None, None)
+    return log
+
+
 def op5(spark, sf_dir: str) -> DataFrame:
-    rows = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    planted = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], "conv_id long, turn long, role string, text string")
-    return digests(reconstruct(events_of(rows.unionByName(planted))))
+    """All conversations, each row an event, and conversation -7, which is reconstructed from a streamed log with edits."""
+    rows = events_of(common.table(spark, sf_dir, "conversations"))
+    planted = spark.createDataFrame(streamed(-7, [("user", TRICKY), ("assistant", TRICKY)]), "conv_id long, seq long, kind string, msg_id string, role string, text string")
+    return digests(reconstruct(rows.unionByName(planted)))
