@@ -10,8 +10,12 @@ The results equal those of the tokenizers library for the vocabulary file given,
 recognised in the text, nothing added, no truncation and no padding.
 
 Defined results: null is encoded as the empty text: no ids, digests of nothing. Lone surrogates
-can't occur in Spark's strings. Repeated rows get one result each; extra columns are left out. Words
-of any length are encoded whole, in time proportional to their length.
+can't occur in Spark's strings. Repeated rows get one result each; extra columns are left out, or
+kept where asked for, whatever their names; an empty table gives no rows. Words of any length are
+encoded whole, in time proportional to their length; those of over TRIE_BYTES bytes share no trie, so
+that memory stays at a few bytes for each byte of a word. Where several tokens could end a prefix,
+the merges decide; there are no ties. Files with another normalizer, splitting rule or model than
+byte-level BPE as described here are refused.
 """
 
 from __future__ import annotations
@@ -38,6 +42,8 @@ _BEYOND = re.compile("[ɐ-\U0010ffff]")
 _ANY = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 #: Words whose ids a worker keeps, and characters of text that it splits at once.
 CACHE_WORDS, CHUNK_CHARS = 400_000, 2 << 20
+#: Longest word that goes into the trie.
+TRIE_BYTES = 1024
 
 
 def byte_letters() -> dict[str, int]:
@@ -47,12 +53,31 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def refuse(spec: dict) -> None:
+    """Raises if a vocabulary file asks for what this module doesn't do."""
+    model, split, step = spec.get("model") or {}, spec.get("pre_tokenizer") or {}, spec.get("normalizer")
+    wrong = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix") if model.get(k)]
+    wrong += [k for k in ("fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    if model.get("type", "BPE") != "BPE":
+        wrong.append("model")
+    if step is not None:
+        wrong.append("normalizer")
+    if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        wrong.append("pre_tokenizer")
+    if (spec.get("decoder") or {}).get("type") != "ByteLevel":
+        wrong.append("decoder")
+    wrong += [f"added token {t['content']!r}" for t in spec.get("added_tokens", []) if any(t.get(k) for k in ("single_word", "lstrip", "rstrip"))]
+    if wrong:
+        raise ValueError(f"not a vocabulary of plain byte-level BPE: {', '.join(wrong)}")
+
+
 class Coder:
     """Encoder and decoder of one vocabulary file (a tokenizers JSON with a byte-level BPE model)."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        refuse(spec)
         letters = byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
         vocab = spec["model"]["vocab"]
@@ -130,8 +155,11 @@ class Coder:
         """(word, ids) of distinct words, depth first through their trie."""
         root: dict = {}
         for w in words:
-            node = root
-            for b in w.encode("utf-8", "surrogatepass"):
+            node, raw = root, w.encode("utf-8", "surrogatepass")
+            if len(raw) > TRIE_BYTES:
+                yield w, self.line(raw)
+                continue
+            for b in raw:
                 nxt = node.get(b)
                 if nxt is None:
                     nxt = node[b] = {}
@@ -176,6 +204,31 @@ class Coder:
                 else:
                     stack.append((depth + 1, b, child, tail))
 
+    def line(self, raw: bytes) -> list[int]:
+        """The ids of one word, prefix by prefix, without a trie."""
+        suffix, longest = self.suffix, self.longest
+        last, start = array("i", [0]), array("i", [0])
+        for depth in range(1, len(raw) + 1):
+            found = []
+            for i in range(1, min(longest, depth) + 1):
+                t = suffix.get(raw[depth - i : depth])
+                if t is None:
+                    break
+                if t >= 0:
+                    found.append((i, t))
+            for i, t in reversed(found):
+                s = depth - i
+                if self.keeps_apart(last[s], t) if s else self.itself(t):
+                    last.append(t), start.append(s)
+                    break
+            else:
+                raise ValueError("a prefix has no last token: the vocabulary lacks bytes")
+        out, d = [], len(raw)
+        while d:
+            out.append(last[d])
+            d = start[d]
+        return out[::-1]
+
     def split(self, text: str) -> list[str]:
         """Words of a text without special tokens."""
         if _BEYOND.search(text):
