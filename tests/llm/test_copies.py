@@ -52,7 +52,9 @@ def planted():
     return dict(enumerate(texts))
 
 
-def test_near_copies_against_brute_force(spark):
+@pytest.mark.parametrize("block", [4096, 40])
+def test_near_copies_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
     texts = planted()
     want = slow_roots(texts)
     assert max(sum(v == w for v in want.values()) for w in want.values()) >= 151

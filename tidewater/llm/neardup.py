@@ -4,13 +4,17 @@ A fingerprint of 64 bits is 8 bytes, each with its position. Two fingerprints th
 3 bits share at least 5 positional bytes; of 5 out of 8, at least 3 lie in the first or in the second
 half. So the inverted index is keyed by three positional bytes of one half (8 keys a fingerprint,
 24 bits each), which keeps its lists short where single bytes would list 1/256 of all fingerprints.
-Pairs that meet in a list are tallied: those that share fewer than 5 positional bytes go, the rest
-is verified bit by bit. Equal fingerprints are one class throughout and never paired.
+For pairs that meet in a list the shared positional bytes are tallied, in long lists from postings of
+single positional bytes: those that share fewer than 5 go, the rest is verified bit by bit. Equal
+fingerprints are one class throughout and never paired.
 
 A list's pairs aren't emitted: within a list, members are linked breadth first, each taken once, and
-only those links leave. Lists longer than LONG are cut into blocks and each pair of blocks is a
-group of its own, so that no group grows with the data. Components come from alternating large-star
-and small-star steps, each written to the shared folder.
+only those links leave. The members of a list longer than LONG go on to lists of 5 positional bytes
+(10 each, as 2 more of the other 5 must be shared), and where these are longer than LONG, to lists of
+a quarter of the remaining 24 bits (4 each, as one quarter must be the same). Such a list has at most
+2^18 members, however large the table, and the rows of the index grow as the fingerprints do.
+Components come from alternating large-star and small-star steps, each written to the shared folder;
+rows of keys that very many rows share are joined by broadcast.
 
 The pipeline's stage goes by the texts themselves: five-word shingles with a Jaccard similarity of
 0.8 or more, found exactly (`near_copies`).
@@ -22,6 +26,7 @@ one result each. Extra columns are left out.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from fractions import Fraction
@@ -34,11 +39,14 @@ from pyspark.sql import functions as F
 from tidewater.llm import common
 
 SHINGLE, BITS, SEED = 3, 3, 42
-LONG = 2048
+#: Members of a list beyond which it is split, and beyond which its tallies come from postings.
+LONG, DENSE = 2048, 256
 #: The pipeline's stage: words of a shingle, least Jaccard similarity.
 WORDS, SIMILARITY = 5, "0.8"
 #: Lists up to SHORT give all pairs at once. One text in SAMPLED tells which hashes OFTEN texts or more have, of which the MOST frequent are kept.
 SHORT, SAMPLED, OFTEN, MOST = 64, 10, 50, 500_000
+#: Members of a list that meet in one task; longer lists are cut into blocks of about so many.
+BLOCK = 4096
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _TRIPLES = [(h + a, h + b, h + c) for h in (0, 4) for a, b, c in ((0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3))]
 #: Ids of classes that have no doc_id start here.
@@ -84,6 +92,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def linked(fps: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
     """Links (smaller id first) that connect all members within BITS bits of each other, each member reached once."""
+    if len(fps) > DENSE:
+        varies = np.bitwise_or.reduce(fps ^ fps[0])
+        return _linked_in_cube(fps, ids, int(varies)) if len(fps) > LONG and int(varies).bit_count() <= 18 else _linked_by_postings(fps, ids)
     out, left = [], np.arange(len(fps))
     while len(left):
         front, left = [left[0]], left[1:]
@@ -102,6 +113,60 @@ def linked(fps: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _linked_by_postings(fps: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
+    """As linked: a member's candidates are tallied from the postings of its 8 positional bytes."""
+    at = fps.view(np.uint8).reshape(-1, 8)
+    orders = [np.argsort(at[:, p], kind="stable") for p in range(8)]
+    starts = [np.searchsorted(at[o, p], np.arange(257)) for p, o in enumerate(orders)]
+    alike = [p for p in range(8) if (at[:, p] == at[0, p]).all()]
+    out, taken = [], np.zeros(len(fps), bool)
+    for seed in range(len(fps)):
+        if taken[seed]:
+            continue
+        taken[seed] = True
+        front = [seed]
+        while front:
+            x = front.pop()
+            tally = np.full(len(fps), len(alike), np.int8)
+            for p in range(8):
+                if p not in alike:
+                    tally[orders[p][starts[p][at[x, p]] : starts[p][int(at[x, p]) + 1]]] += 1
+            near = np.flatnonzero((tally >= 8 - BITS) & ~taken)
+            near = near[np.bitwise_count(fps[near] ^ fps[x]) <= BITS]
+            taken[near] = True
+            out += [(min(int(ids[x]), i), max(int(ids[x]), i)) for i in ids[near].tolist() if i != ids[x]]
+            front += near.tolist()
+    return out
+
+
+def _linked_in_cube(fps: np.ndarray, ids: np.ndarray, varies: int) -> list[tuple[int, int]]:
+    """As linked, of fingerprints that vary in few bits: neighbours are looked up in a table of all values of these."""
+    bits = [b for b in range(64) if varies >> b & 1]
+    code = np.zeros(len(fps), np.int64)
+    for i, b in enumerate(bits):
+        code |= ((fps >> np.uint64(b)) & np.uint64(1)).astype(np.int64) << i
+    table = np.full(1 << len(bits), -1, np.int64)
+    table[code] = np.arange(len(fps))
+    masks = np.array([sum(1 << i for i in c) for k in range(1, BITS + 1) for c in itertools.combinations(range(len(bits)), k)], dtype=np.int64)
+    out, taken = [], np.zeros(len(fps), bool)
+    for seed in range(len(fps)):
+        if taken[seed]:
+            continue
+        taken[seed] = True
+        front = np.array([seed])
+        while len(front):
+            x, front = front[:1024], front[1024:]
+            met = table[code[x, None] ^ masks]
+            i, j = np.nonzero(met >= 0)
+            y = met[i, j]
+            fresh = ~taken[y]
+            y, first = np.unique(y[fresh], return_index=True)
+            taken[y] = True
+            out += [(min(a, b), max(a, b)) for a, b in zip(ids[x[i[fresh][first]]].tolist(), ids[y].tolist()) if a != b]
+            front = np.concatenate([front, y])
+    return out
+
+
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links within each list of rows (key, fp, id) sorted by key; lists of one are skipped in bulk."""
 
@@ -130,31 +195,57 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(classes: DataFrame, long: int = LONG) -> DataFrame:
     """Links (a, b) between ids of classes(fp, id); within each component they connect all members."""
     byte = lambda i: F.shiftrightunsigned("fp", 8 * i).bitwiseAND(F.lit(255).cast("long"))
+    part = lambda i: F.shiftrightunsigned("rest", 6 * i).bitwiseAND(F.lit(63).cast("long"))
     keys = F.array(*((F.lit(t << 24) + byte(x) * 65536 + byte(y) * 256 + byte(z)) for t, (x, y, z) in enumerate(_TRIPLES)))
-    index = classes.select(F.explode(keys).alias("key"), "fp", "id")
-    hot = common.written(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > long), "lists")
-    if hot.isEmpty():
-        return index.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long")
-    usual = index.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long")
-    blocks = F.ceil(2 * F.col("n") / long)
-    mine = F.pmod(F.xxhash64("fp", F.lit(1)), blocks)
-    cut = index.join(hot, "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    pair = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
-    long_lists = cut.select(pair.alias("key"), "fp", "id").repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long")
-    return usual.unionByName(long_lists)
+    by_list = lambda df: df.select("key", "fp", "id").repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long")
+
+    def cut(index: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """The rows of lists up to `long`, and those of longer ones, if there are any."""
+        hot = common.written(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > long).select("key"), "lists")
+        if hot.isEmpty():
+            return index, None
+        # a list has over `long` of the index's rows, so that these keys are few beside them
+        return index.join(hot, "key", "left_anti"), index.join(hot, "key", "left_semi")
+
+    usual, hot = cut(classes.select(F.posexplode(keys).alias("t", "key"), "fp", "id"))
+    out = by_list(usual)
+    if hot is None:
+        return out
+    more = []
+    for t, triple in enumerate(_TRIPLES):
+        others = [i for i in range(8) if i not in triple]
+        for n, (x, y) in enumerate(itertools.combinations(others, 2)):
+            rest = [i for i in others if i not in (x, y)]
+            more.append((F.col("t") == t, F.struct((F.lit(n << 16) + byte(x) * 256 + byte(y)).alias("two"), sum((byte(i) * (1 << 8 * k) for k, i in enumerate(rest)), F.lit(0).cast("long")).alias("rest"))))
+    of = F.when(F.lit(False), F.array(more[0][1]))
+    for t in range(len(_TRIPLES)):
+        of = of.when(F.col("t") == t, F.array(*(c for k, (_, c) in enumerate(more) if k // 10 == t)))
+    five = hot.select("key", "fp", "id", F.explode(of).alias("m")).select(F.xxhash64("key", "m.two").alias("key"), "fp", "id", "m.rest")
+    usual, hot = cut(five)
+    out = out.unionByName(by_list(usual))
+    if hot is None:
+        return out
+    quarter = hot.select("key", "fp", "id", F.explode(F.array(*(F.lit(i << 6) + part(i) for i in range(4)))).alias("q"))
+    return out.unionByName(by_list(quarter.select(F.xxhash64("key", "q").alias("key"), "fp", "id")))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, root): each linked id with the smallest id of its component."""
     edges = common.written(edges.filter("a <> b").distinct(), "edges")
-    before = None
+    before, size = None, edges.count()
+
+    def star(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
+        if size <= common.HOT_ROWS:  # no centre can have more
+            return many.join(one.drop("n"), key)
+        return common.spread_join(many, common.written(one, "centres"), key)
+
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = star(both, low, "a").filter("b > a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
-        least = down.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = down.join(least, "hi").select(F.explode(F.array(F.struct("m", F.col("lo").alias("v")), F.struct("m", F.col("hi").alias("v")))).alias("e")).select(F.col("e.m").alias("a"), F.col("e.v").alias("b")).filter("a <> b").distinct()
+        least = down.groupBy("hi").agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = star(down, least, "hi").select(F.explode(F.array(F.struct("m", F.col("lo").alias("v")), F.struct("m", F.col("hi").alias("v")))).alias("e")).select(F.col("e.m").alias("a"), F.col("e.v").alias("b")).filter("a <> b").distinct()
         edges = common.written(small, "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == before:
@@ -169,11 +260,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id of every row."""
     fps = common.written(fingerprints(docs), "fingerprints")
     nameless = F.lit(_NAMELESS) + F.col("fp").bitwiseAND(F.lit(_NAMELESS - 1))
-    classes = common.written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")).select("fp", F.coalesce("first", nameless).alias("id")), "classes")
-    roots = components(links(classes))
-    of = classes.join(roots, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
+    classes = common.written(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).select("fp", F.coalesce("first", nameless).alias("id"), "n"), "classes")
+    roots = components(links(classes.drop("n")))
+    of = classes.join(roots, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"), "n")
     named = F.when(F.col("component_id") < _NAMELESS, F.col("component_id"))
-    return fps.join(of, "fp").select("doc_id", "fp", named.alias("component_id"))
+    return common.spread_join(fps, of, "fp").select("doc_id", "fp", named.alias("component_id"))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
@@ -189,6 +280,13 @@ def shingles(text: str | None, shingle: int = WORDS) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, "<u8"), *_hashes(text, shingle)]))
 
 
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of x are in the sorted array known; proportional to x."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
 def similar(x: np.ndarray, y: np.ndarray, least: Fraction) -> bool:
     """Whether the Jaccard similarity of two sets is at least that; of two empty ones it is 1."""
     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -214,15 +312,6 @@ def _batch(names: str, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names.split())
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, id, n, at) those whose key has others, with the length of its list."""
-    for key, *rest in _whole(batches):
-        _, of, m = np.unique(key, return_inverse=True, return_counts=True)
-        m = m[of]
-        if (m > 1).any():
-            yield _batch("key id n at m", *(c[m > 1] for c in (key, *rest, m)))
-
-
 def _may(n: np.ndarray, at: np.ndarray, i, j, least: Fraction) -> np.ndarray:
     """Whether members i and j of a list can be similar, by their sizes and the places of the shared hash in them."""
     t, s = least.numerator, least.denominator
@@ -255,15 +344,14 @@ def _first_pairs(least: Fraction):
 
 
 def _other_pairs(least: Fraction):
-    """Of lists with rows (key, id, n, at, root): all pairs of members that no link has joined yet."""
+    """Of lists with rows (key, id, n, at, root, asks): pairs of members that ask with any others that no link has joined to them yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, *columns in _whole(batches):
             for part in np.split(np.arange(len(key)), np.flatnonzero(key[1:] != key[:-1]) + 1):
-                roots, of, count = np.unique(columns[3][part], return_inverse=True, return_counts=True)
-                part = part[np.argsort(of == count.argmax(), kind="stable")]  # members of the largest component meet only the others
-                id_, n, at, root = (c[part] for c in columns)
-                for i in range(len(part) - int(count.max())):
+                part = part[np.argsort(columns[4][part] == 0, kind="stable")]
+                id_, n, at, root, asks = (c[part] for c in columns)
+                for i in range(int((asks > 0).sum())):
                     j = np.arange(i + 1, len(part))
                     j = j[_may(n, at, i, j, least) & (root[j] != root[i])]
                     if len(j):
@@ -317,7 +405,8 @@ def near_copies(rows: DataFrame, shingle: int = WORDS, similarity: str = SIMILAR
     such sets, each in one order of all hashes, the first n - ceil(similarity n) + 1 have a hash in
     common. So the lists of those hashes, rare ones first, give all pairs, and each is verified.
     Texts with the same set are one class. Long lists give only as many pairs as members at first;
-    the rest of their pairs are taken where the links so found haven't joined the two.
+    the rest of their pairs are taken where the links so found haven't joined the two: members outside
+    a list's largest component are held against all. Lists longer than BLOCK meet block by block.
     """
     spark, least = rows.sparkSession, Fraction(similarity)
     common.bound_batches(spark)
@@ -330,26 +419,39 @@ def near_copies(rows: DataFrame, shingle: int = WORDS, similarity: str = SIMILAR
             sets = [shingles(t, shingle) for t in b.column("text").to_pylist()]
             first = []
             for s in sets:
-                rare = ~np.isin(s, often.value, assume_unique=True)
+                rare = ~_among(s, often.value)
                 first.append(np.concatenate([s[rare], s[~rare]])[: len(s) - math.ceil(least * len(s)) + 1].view("<i8"))
             ends = np.cumsum([0, *map(len, first)])
             keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, "<i8"), *first])))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), keys], names=["id", "same", "n", "keys"])
 
     sets = common.written(rows.select("id", "text").mapInArrow(run, "id long, same binary, n long, keys array<long>"), "sets")
-    classes = common.written(sets.groupBy("same").agg(F.min("id").alias("id")), "classes")
+    classes = common.written(sets.groupBy("same").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "classes")
     index = sets.join(classes.select("id"), "id", "left_semi").select(F.posexplode("keys").alias("at", "key"), "id", "n").select("key", "id", "n", F.col("at").cast("long").alias("at"))
     by_key = lambda df: df.repartition("key").sortWithinPartitions("key")
-    lists = common.written(by_key(index).mapInArrow(_shared, "key long, id long, n long, at long, m long"), "lists")
-    links = common.written(_verified(by_key(lists.drop("m")).mapInArrow(_first_pairs(least), "a long, b long"), rows, shingle, least), "links")
+    counts = common.written(index.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("id", "n", "at")).alias("head")).filter("m > 1"), "counts")
+    blocks, block = F.ceil(F.col("m") / BLOCK), F.pmod(F.xxhash64("id", F.lit(3)), F.ceil(F.col("m") / BLOCK))
+    lists = common.written(common.spread_join(index, counts.select("key", "m", F.col("m").alias("of")), "key", "of").withColumn("block", block), "lists")
+    # the first member of a long list stands in all of its blocks
+    heads = counts.filter(F.col("m") > BLOCK).select("key", "head.*", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), F.col("m"))
+    in_blocks = lists.select("key", "id", "n", "at", "block", "m").union(heads.select("key", "id", "n", "at", "block", "m"))
+    in_blocks = in_blocks.select(F.when(F.col("m") > BLOCK, F.xxhash64("key", "block")).otherwise(F.col("key")).alias("key"), "id", "n", "at")
+    links = common.written(_verified(by_key(in_blocks).mapInArrow(_first_pairs(least), "a long, b long"), rows, shingle, least), "links")
     roots = components(links)
-    long_lists = lists.filter(F.col("m") > SHORT).drop("m")
+    long_lists = lists.filter(F.col("m") > SHORT)
     if not long_lists.isEmpty():
-        known = long_lists.join(roots, "id", "left").select("key", "id", "n", "at", F.coalesce("root", "id").alias("root"))
-        more = _verified(by_key(known).mapInArrow(_other_pairs(least), "a long, b long"), rows, shingle, least)
+        known = common.written(long_lists.join(roots, "id", "left").select("key", "id", "n", "at", "m", "block", F.coalesce("root", "id").alias("root")), "known")
+        # members of a list's largest component have nothing to ask
+        largest = known.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("largest"), F.sum("c").alias("of"))
+        asked = common.spread_join(known, common.written(largest, "largest"), "key", "of").withColumn("asks", (F.col("root") != F.col("largest")).cast("long"))
+        short = asked.filter(F.col("m") <= BLOCK).select("key", "id", "n", "at", "root", "asks")
+        cut = asked.filter(F.col("m") > BLOCK)
+        home = cut.select(F.xxhash64("key", "block").alias("key"), "id", "n", "at", "root", F.lit(0).cast("long").alias("asks"))
+        guests = cut.filter("asks = 1").withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).select(F.xxhash64("key", "to").alias("key"), "id", "n", "at", "root", "asks")
+        more = _verified(by_key(short.union(home).union(guests)).mapInArrow(_other_pairs(least), "a long, b long"), rows, shingle, least)
         roots = components(roots.select(F.col("root").alias("a"), F.col("id").alias("b")).union(more))
-    of = classes.join(roots, "id", "left").select("same", F.coalesce("root", "id").alias("component"))
-    return sets.select("id", "same").join(of, "same").select("id", "component")
+    of = classes.join(roots, "id", "left").select("same", F.coalesce("root", "id").alias("component"), "n")
+    return common.spread_join(sets.select("id", "same"), of, "same").select("id", "component")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -363,5 +465,5 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "hash", "id")
     found = common.written(found.select("component", order.alias("o")), "components")
     groups = found.groupBy("component").agg(F.min("o").alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    drop = common.written(found.join(groups, "component").filter("o <> kept").select("o.id"), "copies")
+    drop = common.written(common.spread_join(found, common.written(groups, "groups"), "component").filter("o <> kept").select("o.id"), "copies")
     return common.unpacked(rows.join(drop, "id", "left_anti"), docs.columns)
