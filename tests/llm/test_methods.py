@@ -318,8 +318,37 @@ def test_spans_against_brute_force(spark, texts):
 
 def test_added_spans(spark):
     rows = [(1, "tel: 555-123-4567 now"), (2, "my SSN is 123-45-6789"), (3, "write to joe [at] example [dot] com"), (4, "the number 555-123-4567 of the year"), (5, "x" * 100), (6, "invoice 20240131 and 1234567")]
-    got = {r.doc_id: r.spans for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: "phone:5:17", 2: "id:10:21", 3: "email:9:35", 4: "", 5: "", 6: ""}
+    rows += [(7, "a 7536784127813050 4845168114407329 b"), (8, "+1 (826) 555-4081 190.137.223.204"), (9, "tel 555-123-4567 555-987-6543"), (10, "call 020 7946 0958 or 01 23 45 67 89")]
+    want = {1: "phone:5:17", 2: "id:10:21", 3: "email:9:35", 4: "", 5: "", 6: "", 7: "card:2:18,card:19:35", 8: "phone:1:17,ip:18:33", 9: "phone:4:16,phone:17:29", 10: "phone:5:18,phone:22:36"}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for model in (None, pii.fit(common.table(spark, LARGER, "documents"))):
+        assert {r.doc_id: r.spans for r in pii.detect(df, model).collect()} == want
+
+
+def test_added_spans_on_unseen_sentences(spark):
+    """Recall and precision by kind on sentences from another seed, as trained on one third less, and with words of other sentences around."""
+    rows, want = [], set()
+    for i, (text, right) in enumerate(pii.sentences(seed=77)):
+        at = 0
+        for x in right:
+            at = text.index(x, at)
+            want.add((i, at + x.startswith("("), at + len(x)))
+            at += len(x)
+        rows.append((i, text))
+    got = pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    base = {r.doc_id for r in got if r.n_email + r.n_ip + r.n_card + r.n_phone}
+    found = {(r.doc_id, int(a), int(b)) for r in got if r.doc_id not in base for _, a, b in (s.split(":") for s in r.spans.split(",") if s)}
+    want = {w for w in want if w[0] not in base}
+    assert len(found & want) >= 0.9 * len(want) and len(found & want) >= 0.9 * len(found)
+
+
+def test_many_spans_take_linear_time(spark):
+    import time
+
+    df = spark.createDataFrame([(1, "x@y.com tel: 555-123-4567 " * 16_000)], "doc_id long, text string")
+    began = time.monotonic()
+    text = pii.redact(df).first().text
+    assert text == "<EMAIL> tel: <PHONE> " * 16_000 and time.monotonic() - began < 60
 
 
 def test_long_runs_take_linear_time(spark):
@@ -609,7 +638,8 @@ def test_pipeline_against_brute_force(spark, texts):
         w = decontaminate.words(t)
         return not any(tuple(w[k : k + n]) in windows for n in sizes for k in range(len(w) - n + 1))
 
-    spans = {r.doc_id: r.spans for r in pii.detect(common.table(spark, SF, "documents")).collect()}
+    docs = common.table(spark, SF, "documents")
+    spans = {r.doc_id: r.spans for r in pii.detect(docs, pii.fit(docs)).collect()}
 
     def redacted(i, t):
         out, at = [], 0
