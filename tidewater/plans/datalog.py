@@ -39,6 +39,15 @@ def _constant(term: str) -> bool:
     return bool(re.fullmatch(r"-?\d+(?:\.\d+)?|'[^']*'|\"[^\"]*\"", term))
 
 
+def _renamed(condition: str, names: dict[str, str]) -> str:
+    """A condition in SQL, variables by their columns; what stands in quotes stays."""
+    out = []
+    for part in re.split(r"('(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\")", condition):
+        quoted = part[:1] in ("'", '"')
+        out.append(part if quoted else re.sub(r"[A-Za-z_]\w*", lambda m: names.get(m[0], m[0]), part).replace("==", "=").replace("!=", "<>"))
+    return "".join(out)
+
+
 def _rule(head, body, relations: dict[str, DataFrame]) -> DataFrame:
     parts, conditions, seen = [], [], {}
     for n, item in enumerate(body):
@@ -58,10 +67,10 @@ def _rule(head, body, relations: dict[str, DataFrame]) -> DataFrame:
             else:
                 seen[t] = col
         parts.append(df)
-    joined = reduce(lambda a, b: a.crossJoin(b), parts)
-    for c in conditions:
-        text = re.sub(r"[A-Za-z_]\w*", lambda m: seen.get(m[0], m[0]), c).replace("==", "=").replace("!=", "<>")
-        joined = joined.filter(text)
+    # variables that are shared, and comparisons, become conditions of one filter, from which Catalyst makes the joins
+    joined = reduce(lambda a, b: a.join(b), parts)
+    if conditions:
+        joined = joined.filter(" AND ".join(f"({_renamed(c, seen)})" for c in conditions))
     keys, aggs, order = [], [], []
     for i, t in enumerate(head[1]):
         m = re.match(r"^(SUM|COUNT|MIN|MAX|AVG)\((.*)\)$", t, re.I)
@@ -74,7 +83,7 @@ def _rule(head, body, relations: dict[str, DataFrame]) -> DataFrame:
     return (joined.groupBy(*keys).agg(*aggs) if aggs else joined.select(*keys).distinct()).select(*order)
 
 
-def run(spark: SparkSession, program: str, relations: dict[str, DataFrame], max_iterations: int = 1000) -> dict[str, DataFrame]:
+def run(spark: SparkSession, program: str, relations: dict[str, DataFrame], max_iterations: int | None = None) -> dict[str, DataFrame]:
     """All predicates that the program's heads define."""
     rules = parse(program)
     known = dict(relations)
@@ -103,7 +112,7 @@ def run(spark: SparkSession, program: str, relations: dict[str, DataFrame], max_
                 if not base:
                     raise ValueError(f"{n} has no rule without recursion")
                 known[n] = recursion.settle(reduce(DataFrame.union, base).distinct())
-            for _ in range(max_iterations):
+            for _ in recursion.rounds(max_iterations):
                 new = {n: recursion.settle(reduce(DataFrame.union, [known[n], *(_rule(h, b, known) for h, b in rules if h[0] == n)]).distinct()) for n in group}
                 same = all(new[n].count() == known[n].count() for n in group)
                 known |= new

@@ -91,7 +91,7 @@ _sql("sql_exists", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FR
 
 _PATHS = """WITH RECURSIVE cte_paths (src, target, distance, lvl) AS (
   SELECT src, target, distance, CAST(1 AS BIGINT) FROM distances WHERE src = 1
-  UNION SELECT p.src, d.target, p.distance + d.distance, p.lvl + 1 FROM cte_paths p, distances d WHERE p.target = d.src AND p.lvl < 10)
+  UNION SELECT p.src, d.target, p.distance + d.distance, p.lvl + 1 FROM cte_paths p, distances d WHERE p.target = d.src AND d.target > d.src)
 SELECT src, target, distance, lvl FROM cte_paths"""
 
 
@@ -104,7 +104,7 @@ def _paths(spark, d):
 
 _TREE = """WITH RECURSIVE tree (custkey, nation, lvl) AS (
   SELECT c_custkey, c_nationkey, CAST(1 AS BIGINT) FROM customer WHERE c_custkey <= 3
-  UNION SELECT c.c_custkey, c.c_nationkey, t.lvl + 1 FROM tree t, customer c WHERE c.c_custkey = 2 * t.custkey + 1 AND t.lvl < 11)
+  UNION SELECT c.c_custkey, c.c_nationkey, t.lvl + 1 FROM tree t, customer c WHERE c.c_custkey = 2 * t.custkey + 1)
 SELECT lvl, COUNT(*) AS n, MAX(custkey) AS top FROM tree GROUP BY lvl"""
 _sql("sql_recursive_tree", _TREE)
 
@@ -682,7 +682,7 @@ def _gram(spark, d):
     return arrays.gram(_t(spark, d, "embeddings"), "embedding", 64).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.round("v", 4).alias("v"))
 
 
-@_query("arr_histogram", "SELECT CAST(LEAST(FLOOR((o_totalprice - 0) * 20 / 600000), 19) AS INTEGER) AS bin, COUNT(*) AS n FROM orders WHERE o_totalprice BETWEEN 0 AND 600000 GROUP BY 1")
+@_query("arr_histogram", "SELECT CAST(b AS INTEGER) AS bin, COUNT(o_totalprice) AS n FROM (SELECT unnest(range(0, 20)) AS b) LEFT JOIN orders ON o_totalprice BETWEEN 0 AND 600000 AND LEAST(FLOOR((o_totalprice - 0) * 20 / 600000), 19) = b GROUP BY b")
 def _histogram(spark, d):
     return arrays.histogram(_t(spark, d, "orders").select(F.col("o_totalprice").alias("v")), 20, 0.0, 600000.0)
 
