@@ -88,9 +88,11 @@ def topk(a: DataFrame, k: int) -> DataFrame:
 
 
 def histogram(a: DataFrame, bins: int, low: float, high: float) -> DataFrame:
-    """(bin, n) over even bins; the last one is closed; bins without cells are left out."""
+    """(bin, n) over even bins; the last one is closed; bins without cells count 0."""
     at = F.least(F.floor((F.col("v") - low) * bins / (high - low)).cast("int"), F.lit(bins - 1))
-    return a.filter(F.col("v").between(low, high)).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts = a.filter(F.col("v").between(low, high)).groupBy(at.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = a.sparkSession.range(bins).toDF("bin")
+    return every.join(counts, "bin", "left").select(F.col("bin").cast("int").alias("bin"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 def digitize(c: str, edges: list[float]) -> Column:
@@ -252,15 +254,39 @@ def lstsq(df: DataFrame, features: list[str], target: str) -> np.ndarray:
     return np.linalg.solve(np.array([[sums[f"a{i}_{j}"] for j in range(n)] for i in range(n)]), np.array([sums[f"b{i}"] for i in range(n)]))
 
 
-def fft_rows(df: DataFrame, row: str, vector: str) -> DataFrame:
-    """(row, k, re, im) of each row's discrete Fourier transform."""
+FFT = ("fft", "ifft", "rfft", "irfft", "hfft", "ihfft")
+
+
+def fft_rows(df: DataFrame, row: str, vector: str, kind: str = "fft", imaginary: str | None = None) -> DataFrame:
+    """(row, k, re, im) of each row's transform, one of FFT; rows of one length are transformed together.
+
+    imaginary: a column with the imaginary parts, if there are any.
+    """
+    if kind not in FFT:
+        raise ValueError(f"{kind} isn't one of {', '.join(FFT)}")
 
     def run(batches):
         import pandas as pd
 
         for b in batches:
-            for r, v in zip(b[row], b[vector]):
-                f = np.fft.fft(np.asarray(v, dtype=float))
-                yield pd.DataFrame({row: r, "k": np.arange(len(f)), "re": f.real, "im": f.imag})
-
-    return df.select(row, vector).mapInPandas(run, f"{row} {dict(df.dtypes)[row]}, k long, re double, im double")
+            for n, part in b.groupby(b["v_"].map(len)):
+                if not n:
+                    continue
+                x = np.array(part["v_"].tolist(), dtype=float)
+                if imaginary:
+                    x = x + 1j * np.array(part["w_"].tolist(), dtype=float)
+                f = np.atleast_2d(getattr(np.fft, kind)(x, axis=-1))
+                k = f.shape[1]
+                yield pd.DataFrame({row: np.repeat(part[row].to_numpy(), k), "k": np.tile(np.arange(k), len(part)), "re": f.real.ravel(), "im": np.imag(f).ravel()})
+
+    columns = [F.col(row), F.col(vector).alias("v_"), *([F.col(imaginary).alias("w_")] if imaginary else [])]
+    return df.select(*columns).mapInPandas(run, f"{row} {dict(df.dtypes)[row]}, k long, re double, im double")
+
+
+def fft2(df: DataFrame, row: str, vector: str) -> DataFrame:
+    """(row, k, re, im) of the two-dimensional transform of a matrix given by rows 0, 1, ...: rows first, then columns."""
+    first = fft_rows(df, row, vector)
+    columns = first.groupBy("k").agg(F.array_sort(F.collect_list(F.struct(row, "re", "im"))).alias("x"))
+    columns = columns.select("k", F.transform("x", lambda x: x["re"]).alias("re"), F.transform("x", lambda x: x["im"]).alias("im"))
+    second = fft_rows(columns.withColumnRenamed("k", "column"), "column", "re", imaginary="im")
+    return second.select(F.col("k").cast(dict(df.dtypes)[row]).alias(row), F.col("column").alias("k"), "re", "im")

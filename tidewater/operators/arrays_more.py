@@ -143,6 +143,92 @@ def apply_along_axis(a: DataFrame, axis: str, f: Callable[[np.ndarray], float])
     return a.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", v double")
 
 
+def vdot(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The sum of products of equal cells, whatever the number of axes."""
+    keys = [c for c in a.columns if c != "v"]
+    return a.withColumnRenamed("v", "x").join(b.withColumnRenamed("v", "y"), keys).agg(F.coalesce(F.sum(F.col("x") * F.col("y")), F.lit(0.0)).alias("vdot"))
+
+
+def swapaxes(a: DataFrame, one: str, other: str) -> DataFrame:
+    return a.select(*(F.col({one: other, other: one}.get(c, c)).alias(c) for c in a.columns))
+
+
+def squeeze(a: DataFrame, axis: str) -> DataFrame:
+    """Without an axis of length one; cells beyond its first index are an error."""
+    return a.filter(F.when(F.col(axis) == 0, F.lit(True)).otherwise(F.raise_error(F.lit(f"axis {axis} isn't of length one")).cast("boolean"))).drop(axis)
+
+
+def dstack(parts: list[DataFrame]) -> DataFrame:
+    """Matrices side by side along a third axis, k."""
+    return _fold(DataFrame.unionByName, (p.withColumn("k", F.lit(n).cast("long")) for n, p in enumerate(parts)))
+
+
+def union1d(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The distinct values of both."""
+    return a.select("v").union(b.select("v")).distinct()
+
+
+def ediff1d(a: DataFrame, axis: str = "i") -> DataFrame:
+    """Differences of neighbours of a vector."""
+    from tidewater.operators.arrays import diff
+
+    return diff(a, axis)
+
+
+def extract(a: DataFrame, condition: Column) -> DataFrame:
+    """The values that meet a condition, with their indices."""
+    return a.filter(condition)
+
+
+def apply_over_axes(a: DataFrame, how: str, axes: list[str]) -> DataFrame:
+    """A reduction over some axes, which stay with length one."""
+    from tidewater.operators.arrays import REDUCTIONS
+
+    keys = [c for c in a.columns if c != "v" and c not in axes]
+    return a.groupBy(*keys).agg(REDUCTIONS[how]("v").alias("v")).select(*((F.lit(0).cast("long").alias(c) if c in axes else F.col(c)) for c in a.columns if c != "v"), "v")
+
+
+def indices(spark: SparkSession, shape: tuple[int, int]) -> DataFrame:
+    """(axis, i, j, v): each cell's own indices."""
+    cells = spark.range(shape[0] * shape[1]).select(F.floor(F.col("id") / shape[1]).alias("i"), (F.col("id") % shape[1]).alias("j"))
+    return cells.select(F.posexplode(F.array("i", "j")).alias("axis", "v"), "i", "j").select("axis", "i", "j", "v")
+
+
+def full_like(a: DataFrame, value: float) -> DataFrame:
+    return a.withColumn("v", F.lit(value).cast("double"))
+
+
+def zeros_like(a: DataFrame) -> DataFrame:
+    return full_like(a, 0.0)
+
+
+def ones_like(a: DataFrame) -> DataFrame:
+    return full_like(a, 1.0)
+
+
+def apply_gufunc(f: Callable[[np.ndarray], np.ndarray], rows: DataFrame, row: str, vector: str) -> DataFrame:
+    """f of a stack of rows' vectors along its last axis, batch by batch: (..., n) to (..., m)."""
+
+    def run(batches):
+        for b in batches:
+            sizes = b[vector].map(len)
+            for _, part in b.groupby(sizes):
+                found = np.asarray(f(np.array(part[vector].tolist(), dtype=float)))
+                yield part.assign(**{vector: list(found.reshape(len(part), -1))})
+
+    return rows.select(row, vector).mapInPandas(run, f"{row} {dict(rows.dtypes)[row]}, {vector} array<double>")
+
+
+def sfqr(spark: SparkSession, rows: DataFrame, row: str, vector: str, height: int) -> tuple[np.ndarray, DataFrame]:
+    """Q and R of a matrix with few rows (height) and many columns, given as columns (row: column number, vector: its cells).
+
+    Q is of the first `height` columns, on the driver; the rest of R is Q' times each column, in place.
+    """
+    first = rows.orderBy(row).limit(height).toPandas().sort_values(row)
+    q, _ = np.linalg.qr(np.array(first[vector].tolist(), dtype=float).T)
+    return q, apply_gufunc(lambda x: x @ q, rows, row, vector)
+
+
 # Tests of hypotheses -------------------------------------------------------------------------------------
 
 
@@ -186,20 +272,31 @@ def normaltest(c: str) -> Column:
 # Dense matrices of known, small size, on the driver ------------------------------------------------------
 
 
-def qr(spark: SparkSession, rows: DataFrame, row: str, vector: str, size: int) -> tuple[DataFrame, np.ndarray]:
-    """Q (row, vector) and R of a tall matrix of rows: R from the Gram matrix, Q by solving with it in place."""
-    from tidewater.operators.arrays import gram, to_numpy
+def qr(spark: SparkSession, rows: DataFrame, row: str, vector: str, size: int, fan: int = 64) -> tuple[DataFrame, np.ndarray]:
+    """Q (row, vector) and R of a tall matrix of rows, by a tree of small QRs: R of each batch, then of stacks of `fan` Rs.
 
-    r = np.linalg.cholesky(to_numpy(gram(rows, vector, size))).T
-    back = np.linalg.inv(r)
+    As stable as QR itself. Only the last R, size x size, comes to the driver; Q is solved from it row by row.
+    """
 
-    def run(batches):
-        for b in batches:
-            q = np.array(b[vector].tolist(), dtype=float).reshape(-1, size) @ back
-            yield b.assign(**{vector: list(q)})
+    def stacked(batches):
+        import pandas as pd
 
-    kind = dict(rows.dtypes)[row]
-    return rows.select(row, vector).mapInPandas(run, f"{row} {kind}, {vector} array<double>"), r
+        held = np.zeros((0, size))
+        for b in batches:
+            x = np.concatenate([held, np.array(b["x"].tolist(), dtype=float).reshape(-1, size)])
+            held = np.linalg.qr(x, mode="r")
+        yield pd.DataFrame({"x": list(held)})
+
+    data = rows.select(F.col(vector).cast("array<double>").alias("x"))
+    parts = data.rdd.getNumPartitions()
+    data = data.mapInPandas(stacked, "x array<double>")
+    while parts > 1:
+        parts = -(-parts // fan)
+        data = data.coalesce(parts).mapInPandas(stacked, "x array<double>")
+    r = np.linalg.qr(np.array([x[0] for x in data.collect()], dtype=float).reshape(-1, size), mode="r")
+    r = r * np.where(np.diag(r) < 0, -1.0, 1.0)[:, None]
+    q = apply_gufunc(lambda x: np.linalg.solve(r.T, x.T).T, rows.select(row, F.col(vector).cast("array<double>").alias(vector)), row, vector)
+    return q, r
 
 
 def svd_compressed(rows: DataFrame, vector: str, size: int, k: int) -> tuple[np.ndarray, np.ndarray]:

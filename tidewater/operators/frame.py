@@ -129,7 +129,7 @@ def apply_series(df: DataFrame, c: str, func: Callable, returns: str, out: str)
 
 
 def apply_rows(df: DataFrame, func: Callable, returns: str, out: str) -> DataFrame:
-    """func on each row as a dict; by Arrow batches."""
+    """func on each row as a dict; by Arrow batches. Python runs once a row: where func has a columnwise form, use applymap or assign."""
     schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + f", `{out}` {returns}"
 
     def run(batches: Iterator):
@@ -235,6 +235,49 @@ def categories(df: DataFrame, c: str) -> DataFrame:
     return values.select((F.row_number().over(Window.orderBy("value")) - 1).alias("code"), "value")
 
 
+def as_known(df: DataFrame, c: str) -> list:
+    """The categories of a column, found by one pass; for columns of few values."""
+    return [r["value"] for r in categories(df, c).orderBy("code").collect()]
+
+
+def remove_unused_categories(known: list, df: DataFrame, c: str) -> list:
+    """Of known categories those that the column has, in their order."""
+    used = {r[0] for r in df.select(c).filter(F.col(c).isin(known)).distinct().collect()}
+    return [k for k in known if k in used]
+
+
+def memory_usage(df: DataFrame) -> DataFrame:
+    """(column, bytes): the plain size of each column's values, as if uncompressed. One pass."""
+    width = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4}
+    of = lambda n, t: F.sum(F.when(F.col(f"`{n}`").isNotNull(), F.octet_length(f"`{n}`") if t in ("string", "binary") else F.octet_length(F.col(f"`{n}`").cast("string")) if t.startswith(("array", "map", "struct")) else F.lit(width.get(t, 8))).otherwise(0))
+    cells = F.array(*(F.struct(F.lit(n).alias("column"), F.coalesce(of(n, t), F.lit(0)).cast("long").alias("bytes")) for n, t in df.dtypes))
+    return df.agg(cells.alias("s")).select(F.inline("s"))
+
+
+def info(df: DataFrame) -> DataFrame:
+    """(column, non_null, dtype) of each column. One pass."""
+    cells = F.array(*(F.struct(F.lit(n).alias("column"), F.count(F.col(f"`{n}`")).alias("non_null"), F.lit(t).alias("dtype")) for n, t in df.dtypes))
+    return df.agg(cells.alias("s")).select(F.inline("s"))
+
+
+def to_string(df: DataFrame, order: list[str], rows: int = 5) -> str:
+    """The first and last rows in order as text."""
+    head, tail = df.orderBy(*order).limit(rows).toPandas(), df.orderBy(*(F.desc(c) for c in order)).limit(rows).toPandas()[::-1]
+    import pandas as pd
+
+    return pd.concat([head, tail]).drop_duplicates().to_string(index=False)
+
+
+def to_html(df: DataFrame, order: list[str], rows: int = 5) -> str:
+    return df.orderBy(*order).limit(rows).toPandas().to_html(index=False)
+
+
+def align_partitions(frames: list[DataFrame], key: str, divisions: list) -> list[DataFrame]:
+    """Frames dealt alike: partition n has the keys from divisions[n - 1] up to divisions[n]; each sorted."""
+    part = lambda: F.aggregate(F.array(*map(F.lit, divisions)), F.lit(0), lambda a, d: a + (F.col(key) >= d).cast("int"))
+    return [f.withColumn("part_", part()).repartition(len(divisions) + 1, "part_").sortWithinPartitions("part_", key) for f in frames]
+
+
 def codes(df: DataFrame, c: str, out: str = "code") -> DataFrame:
     """Codes of a column's values; -1 for null."""
     return df.join(categories(df, c).withColumnsRenamed({"code": out, "value": c}), c, "left").fillna({out: -1})

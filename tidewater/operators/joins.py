@@ -116,6 +116,10 @@ def _asof_ranges(both: DataFrame, names, take, left, on, direction, allow_exact,
     return done.unionByName(lost, allowMissingColumns=True)
 
 
+#: Bits of a Bloom filter at most: 32 MB.
+BLOOM_BITS = 1 << 28
+
+
 # Sparse range indexes ------------------------------------------------------------------------------
 
 
@@ -140,9 +144,19 @@ def merge_boundaries(index: DataFrame) -> DataFrame:
     return run.groupBy("run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.array_sort(F.collect_set("part")).alias("parts")).drop("run")
 
 
-def clean_foreign(foreign: DataFrame, key: str, index: DataFrame) -> DataFrame:
-    """Rows whose key lies in some range; the index has one row for each partition and is sent whole."""
-    return foreign.join(F.broadcast(index), (F.col(key) >= F.col("begin")) & (F.col(key) <= F.col("end")), "left_semi")
+def clean_foreign(foreign: DataFrame, key: str, index: DataFrame, most: int = 10_000) -> DataFrame:
+    """Rows whose key lies in some range. Ranges that touch are joined first; of more than `most`, only the whole span counts."""
+    ranges = [(r["begin"], r["end"]) for r in merge_boundaries(index).orderBy("begin").limit(most + 1).collect()]
+    if not ranges:
+        return foreign.limit(0)
+    if len(ranges) > most:
+        low, high = index.agg(F.min("begin"), F.max("end")).first()
+        ranges = [(low, high)]
+    begins, ends = (F.array(*(F.lit(x) for x in xs)) for xs in zip(*ranges))
+    if len(ranges) == 1:
+        return foreign.filter(F.col(key).between(*ranges[0]))
+    last = F.aggregate(begins, F.lit(-1), lambda a, b: a + (b <= F.col(key)).cast("int"))
+    return foreign.filter((last >= 0) & (F.col(key) <= F.get(ends, last)))
 
 
 def range_routed_join(foreign: DataFrame, foreign_key: str, primary: DataFrame, primary_key: str) -> DataFrame:
@@ -152,8 +166,44 @@ def range_routed_join(foreign: DataFrame, foreign_key: str, primary: DataFrame,
 
 
 def bloom_semi(foreign: DataFrame, foreign_key: str, primary: DataFrame, primary_key: str) -> DataFrame:
-    """Foreign rows with a partner, for joins that follow. Where it pays, Spark puts a runtime Bloom filter under such joins itself."""
-    return foreign.join(primary.select(F.col(primary_key).alias("bk_")).distinct(), F.col(foreign_key) == F.col("bk_"), "left_semi")
+    """Foreign rows that may have a partner, by a Bloom filter of the primary keys; all that have one are among them.
+
+    The filter has 16 bits a key, BLOOM_BITS at most, so that its size is bounded; it is merged in a tree and broadcast.
+    """
+    import numpy as np
+    import pandas as pd
+
+    bits = min(BLOOM_BITS, 1 << (16 * max(64, primary.count()) - 1).bit_length())
+    places = lambda c: [F.pmod(F.xxhash64(F.col(c), F.lit(i)), F.lit(bits)).alias(f"p{i}") for i in range(4)]
+
+    def marked(batches):
+        held = np.zeros(bits // 8, np.uint8)
+        for b in batches:
+            flat = b.to_numpy().ravel()
+            np.bitwise_or.at(held, flat >> 3, (1 << (flat & 7)).astype(np.uint8))
+        yield pd.DataFrame({"m": [held.tobytes()]})
+
+    def merged(batches):
+        held = np.zeros(bits // 8, np.uint8)
+        for b in batches:
+            for m in b["m"]:
+                held |= np.frombuffer(m, np.uint8)
+        yield pd.DataFrame({"m": [held.tobytes()]})
+
+    keys = primary.filter(F.col(primary_key).isNotNull()).select(*places(primary_key))
+    parts = keys.rdd.getNumPartitions()
+    filled = keys.mapInPandas(marked, "m binary")
+    while parts > 1:
+        parts = -(-parts // 16)
+        filled = filled.coalesce(parts).mapInPandas(merged, "m binary")
+    sent = foreign.sparkSession.sparkContext.broadcast(b"".join(r[0] for r in filled.collect()))
+
+    def probed(*at):
+        held = np.frombuffer(sent.value, np.uint8)
+        return pd.Series(np.logical_and.reduce([held[x.to_numpy() >> 3] >> (x.to_numpy() & 7) & 1 for x in at]).astype(bool))
+
+    may = F.pandas_udf(lambda a, b, c, d: probed(a, b, c, d), "boolean")
+    return foreign.filter(F.col(foreign_key).isNotNull()).filter(may(*places(foreign_key)))
 
 
 def interval_join(points: DataFrame, at: str, intervals: DataFrame, begin: str, end: str, width: float) -> DataFrame:

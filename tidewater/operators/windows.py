@@ -21,13 +21,13 @@ class Rolling:
     """Aggregates over the last `rows` rows of a partition in order, or over `seconds` before each row's time.
 
     Null until min_periods values are there (all rows' worth, or 1 for times). center: as many rows
-    after as before.
+    after as before, one less of an even number.
     """
 
     def __init__(self, partition: list[str], order: list[str], rows: int | None = None, seconds: float | None = None, min_periods: int | None = None, center: bool = False):
         w: WindowSpec = Window.partitionBy(*partition)
         if rows is not None:
-            after = rows // 2 if center else 0
+            after = (rows - 1) // 2 if center else 0
             self.w = w.orderBy(*order).rowsBetween(after - rows + 1, after)
             self.least = rows if min_periods is None else min_periods
         else:
@@ -158,7 +158,7 @@ def repartition_by_freq(df: DataFrame, ts: str, unit: str, partitions: int | Non
 
 def repartition_by_size(df: DataFrame, partition_bytes: int) -> DataFrame:
     """As many partitions as Spark's estimate of the size asks for."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(max(1, -(-size // partition_bytes)))
 
 
