@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from tidewater import queries as q
-from tidewater import queries_programs  # noqa: F401
+from tidewater import queries_more, queries_programs  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
