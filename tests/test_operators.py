@@ -37,6 +37,28 @@ def test_ufuncs_against_numpy(spark):
         assert np.allclose(np.array(got, dtype=float), getattr(np, name)(a, x[::-1])), name
 
 
+def test_ufuncs_of_special_values(spark):
+    nan, inf = float("nan"), float("inf")
+    x = np.array([nan, inf, -inf, 1e300, -1e300, 2.0**53 + 2, -7.5, 0.0, 5e-324, 1024.0])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, x[::-1]))], "n int, a double, b double").coalesce(1).orderBy("n")
+    for name in "floor ceil trunc fix nan_to_num isnan isinf isfinite sign".split():
+        got = [r[0] for r in df.select(ufuncs.apply(name, "a")).collect()]
+        assert np.array_equal(np.array(got, dtype=float), getattr(np, name)(x).astype(float), equal_nan=True), name
+    for name in "maximum minimum fmax fmin nextafter".split():
+        got = [r[0] for r in df.select(ufuncs.apply(name, "a", "b")).collect()]
+        assert np.array_equal(np.array(got, dtype=float), getattr(np, name)(x, x[::-1]), equal_nan=True), name
+    y = np.array([0.0, 1.0, -0.75, 3.0, 1e300, 5e-300, 8.0, -2.0**-30, 123456.789])
+    d = spark.createDataFrame([(i, float(v)) for i, v in enumerate(y)], "n int, a double").coalesce(1).orderBy("n")
+    got = d.select(ufuncs.apply("frexp", "a").alias("f"), ufuncs.apply("modf", "a").alias("m")).collect()
+    m, e = np.frexp(y)
+    assert [r.f.mantissa for r in got] == m.tolist() and [r.f.exponent for r in got] == e.tolist()
+    f, w = np.modf(y)
+    assert [r.m.fraction for r in got] == f.tolist() and [r.m.whole for r in got] == w.tolist()
+    z = np.array([0.0, 0.5, -3.0, 20.0, 300.0])
+    d = spark.createDataFrame([(i, float(v)) for i, v in enumerate(z)], "n int, a double").coalesce(1).orderBy("n")
+    assert np.allclose([r[0] for r in d.select(ufuncs.apply("i0", "a")).collect()], np.i0(z), rtol=1e-12)
+
+
 def test_merge_with_nulls_suffixes_and_indicator(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y"), (None, "z")], "k long, v string")
     b = spark.createDataFrame([(1, "p"), (3, "q"), (None, "r")], "k long, v string")
@@ -61,6 +83,77 @@ def test_rolling_and_unbiased_moments(spark):
         assert np.allclose(got[c].astype(float), w, equal_nan=True), c
 
 
+@pytest.mark.parametrize("rows", [1, 2, 3, 4, 5, 6])
+def test_centred_windows(spark, rows):
+    pd = pytest.importorskip("pandas")
+    v = [float(i * i % 11) for i in range(12)]
+    df = spark.createDataFrame([(0, i, x) for i, x in enumerate(v)], "g long, i long, v double")
+    r = windows.Rolling(["g"], ["i"], rows=rows, center=True)
+    got = df.select("i", r.sum("v").alias("s"), r.median("v").alias("m")).orderBy("i").toPandas()
+    want = pd.Series(v).rolling(rows, center=True)
+    assert np.allclose(got["s"].astype(float), want.sum(), equal_nan=True) and np.allclose(got["m"].astype(float), want.median(), equal_nan=True)
+
+
+def test_histogram_has_all_bins(spark):
+    v = [0.5, 0.5, 9.5, 10.0, 3.0]
+    got = arrays.histogram(spark.createDataFrame([(x,) for x in v], "v double"), 10, 0.0, 10.0)
+    assert [n for _, n in values(got, "bin", "n")] == np.histogram(v, 10, (0, 10))[0].tolist()
+
+
+def test_bloom_filter_loses_nothing(spark):
+    primary = spark.range(0, 30_000, 3).withColumnRenamed("id", "p").repartition(5)
+    foreign = spark.range(60_000).select(F.when(F.col("id") % 1000 != 7, F.col("id")).alias("f"))
+    got = {r.f for r in joins.bloom_semi(foreign, "f", primary, "p").collect()}
+    real = {x for x in range(0, 30_000, 3) if x % 1000 != 7}
+    assert real <= got and len(got) < 1.05 * len(real)
+
+
+def test_ranges_of_keys(spark):
+    index = spark.createDataFrame([(0, 10, 20, 5), (1, 15, 30, 5), (2, 50, 60, 5)], "part int, begin long, end long, n long")
+    keys = spark.createDataFrame([(x,) for x in (9, 10, 30, 31, 49, 55, 61, None)], "k long")
+    assert [r.k for r in joins.clean_foreign(keys, "k", index).orderBy("k").collect()] == [10, 30, 55]
+    assert [r.k for r in joins.clean_foreign(keys, "k", index, most=1).orderBy("k").collect()] == [10, 30, 31, 49, 55]
+
+
+def test_neighbours_against_numpy(spark):
+    from tidewater.operators import neighbours
+
+    rng = np.random.default_rng(2)
+    x, q = rng.normal(size=(200, 3)).round(1), rng.normal(size=(30, 3)).round(1)
+    frame_ = lambda m: spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(m)], "id long, a double, b double, c double").repartition(3)
+    for block in (4096, 7):
+        got = values(neighbours.nearest(frame_(x), frame_(q), "id", ["a", "b", "c"], 4, block), "query", "rank", "id")
+        want = [(i, r + 1, int(j)) for i, v in enumerate(q) for r, j in enumerate(np.lexsort((np.arange(200), sum((x[:, k] - v[k]) ** 2 for k in range(3))))[:4])]
+        assert got == sorted(want, key=repr)
+
+
+def test_ill_conditioned_qr_and_transforms(spark):
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=(300, 6))
+    a[:, 5] = a[:, 0] + 1e-9 * a[:, 5]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(a)], "id long, v array<double>").repartition(5)
+    q, r = arrays_more.qr(spark, rows, "id", "v", 6, fan=2)
+    m = np.array([z.v for z in q.orderBy("id").collect()])
+    assert np.allclose(m @ r, a, atol=1e-12) and np.allclose(np.triu(r), r)
+    q, r = arrays_more.sfqr(spark, spark.createDataFrame([(j, v.tolist()) for j, v in enumerate(a[:4].T)], "id long, v array<double>"), "id", "v", 4)
+    assert np.allclose(q @ np.array([z.v for z in r.orderBy("id").collect()]).T, a[:4])
+    for kind in ("fft", "ifft", "rfft", "hfft", "irfft"):
+        got = arrays.fft_rows(rows.filter("id < 3"), "id", "v", kind).orderBy("id", "k").toPandas()
+        want = getattr(np.fft, kind)(a[:3])
+        assert np.allclose((got.re + 1j * got.im).to_numpy().reshape(want.shape), want), kind
+
+
+def test_frame_as_text(spark):
+    df = spark.createDataFrame([(i, f"row {i}") for i in range(20)], "id long, s string")
+    text = frame.to_string(df, ["id"], 2)
+    assert [x in text for x in ("row 0", "row 1", "row 2", "row 17", "row 18", "row 19")] == [True, True, False, False, True, True]
+    assert "<td>row 0</td>" in frame.to_html(df, ["id"], 1)
+    with pytest.raises(Exception, match="length one"):
+        arrays_more.squeeze(arrays.from_numpy(spark, np.ones((2, 2))), "i").collect()
+    assert values(arrays_more.squeeze(arrays.from_numpy(spark, np.array([[4.0, 5.0]])), "i"), "j", "v") == [(0, 4.0), (1, 5.0)]
+    assert values(arrays_more.dstack([arrays.eye(spark, 1), arrays.eye(spark, 1)]), "i", "j", "k", "v") == [(0, 0, 0, 1.0), (0, 0, 1, 1.0)]
+
+
 def test_frame_pieces(spark):
     df = spark.createDataFrame([(1, "a b", [1, 2], 2.5), (2, None, None, float("nan"))], "id long, s string, l array<long>, x double")
     assert values(frame.explode(df.select("id", "l"), "l"), "id", "l") == [(1, 1), (1, 2), (2, None)]
@@ -121,9 +214,9 @@ def test_tables_and_text(spark, tmp_path):
     assert values(got, "n_name", "n_regionkey") == [("ALGERIA", 0), ("ARGENTINA", 1)]
     with pytest.raises(KeyError):
         tables.load_delimited(spark, "x", "nothing")
-    (tmp_path / "o.csv").write_text("head\nmore\n1|foo|~abc|def~|1.0\n2|bar|~ghi|jkl~|2.0\n")
-    got = io.read_csv(spark, str(tmp_path / "o.csv"), "column0 int, column1 string, column2 string, column3 double", sep="|", quote="~", escape="%", skip=2)
-    assert values(got, "column0", "column1", "column2", "column3") == [(1, "foo", "abc|def", 1.0), (2, "bar", "ghi|jkl", 2.0)]
+    (tmp_path / "o.csv").write_text("made by hand\n\ndepth;place\n40.5;^pier; north^\n7.25;^under %^the%^ bridge^\n")
+    got = io.read_csv(spark, str(tmp_path / "o.csv"), "depth double, place string", sep=";", quote="^", escape="%", skip=3)
+    assert values(got, "depth", "place") == [(40.5, "pier; north"), (7.25, "under ^the^ bridge")]
     (tmp_path / "f.txt").write_text("ab  12\ncd   7\n")
     assert values(io.read_fwf(spark, str(tmp_path / "f.txt"), {"s": (0, 2, "string"), "n": (2, 6, "int")}), "s", "n") == [("ab", 12), ("cd", 7)]
     assert tables.join_keys("orders", "customer") == ("customer", "c_custkey", "o_custkey") and tables.column_at("region", 1) == "r_name"
