@@ -92,11 +92,11 @@ def placed(docs: DataFrame, raw: dict[str, Column], ddl: str) -> DataFrame:
     return out.withColumns({k: F.flatten(F.zip_with(F.col(f"chunks_{k}"), totals(F.col(f"chunks_{k}")), inner)) for k in raw}).drop(*(f"chunks_{k}" for k in raw))
 
 
-def matches(text: Column, gap: str, match: str, needed: Column, make: Callable[[Column, Column], list[Column]]) -> Column:
+def matches(text: Column, gap: str, match: str, needed: Column, make: Callable[[Column, Column], list[Column]], ddl: str) -> Column:
     """The leftmost matches that don't overlap, as structs of g, m and what make gives; of texts that meet the condition only."""
     pattern = F.lit(rf"(?s)\G({gap})({match})")
     found = F.zip_with(F.regexp_extract_all(text, pattern, 1), F.regexp_extract_all(text, pattern, 2), lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m"), *make(g, m)))
-    return F.when(needed, found).otherwise(F.slice(found, 1, 0))
+    return F.when(needed, found).otherwise(F.array().cast(ddl.replace("start:", "g:").replace("end:", "m:")))
 
 
 def digits(value: Column) -> Column:
@@ -228,7 +228,7 @@ def based(docs: DataFrame) -> DataFrame:
     text = F.col("pii_text")
     # the same as matching everywhere, but cheaper
     needs = {"email": text.contains("@"), "phone": text.contains("+")}
-    out = placed(out, {f"pii_{k}": matches(text, *p, needs.get(k, text.rlike("[0-9]")), lambda g, m: [m.alias("value")]) for k, p in BASE.items()}, _FOUND)
+    out = placed(out, {f"pii_{k}": matches(text, *p, needs.get(k, text.rlike("[0-9]")), lambda g, m: [m.alias("value")], _FOUND) for k, p in BASE.items()}, _FOUND)
     return out.withColumn("pii_base", F.array_sort(F.concat(*(_valid_spans(k, F.col(f"pii_{k}")) for k in BASE)))).drop(*(f"pii_{k}" for k in BASE))
 
 
@@ -240,7 +240,7 @@ def told(docs: DataFrame, text: str) -> DataFrame:
         return [m.alias("value"), F.substr(g, F.lit(1), F.lit(2)).alias("left"), F.right(g, F.lit(CONTEXT)).alias("right"), F.when(g.rlike(r"^[\x20().-]{1,2}$"), g).alias("sep")]
 
     needs = {"number": t.rlike(r"[0-9](?:[\x20().-]{0,2}[0-9]){6}"), "spelled": t.rlike(r"[\[(](?:at|AT)[\])]")}
-    out = placed(docs, {f"told_{k}": matches(t, *p, needs[k], make) for k, p in (("number", DIGITS), ("spelled", SPELLED))}, _TOKENS)
+    out = placed(docs, {f"told_{k}": matches(t, *p, needs[k], make, _TOKENS) for k, p in (("number", DIGITS), ("spelled", SPELLED))}, _TOKENS)
     out = out.withColumns({"told_number": windows(F.col("told_number")), "told_spelled": spelled_out(F.col("told_spelled"))})
     with_features = lambda k: F.transform(f"told_{k}", lambda c: F.struct(c.start.alias("start"), c.end.alias("end"), F.array(*(x.cast("double") for x in features(c, k == "spelled"))).alias("f")))
     return out.withColumns({f"told_{k}": with_features(k) for k in needs})
