@@ -23,6 +23,7 @@ columns are left out by `detect`, kept by `redact`, whatever their names; null t
 
 from __future__ import annotations
 
+import json
 import random
 import zlib
 from collections.abc import Callable
@@ -345,7 +346,8 @@ def _labelled(spark: SparkSession) -> list[tuple[tuple[float, ...], int]]:
             spans.append((at + x.startswith("("), at + len(x)))  # windows begin with a digit
             at += len(x)
         marked.append((text, spans))
-    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(marked)], "i int, text string").coalesce(1)
+    written = json.dumps([{"i": i, "text": t} for i, (t, _) in enumerate(marked)])
+    rows = spark.range(1).select(F.inline(F.from_json(F.lit(written), "array<struct<i:int,text:string>>")))
     found = told(rows, "text").select("i", F.explode(F.concat("told_number", "told_spelled")).alias("c")).select("i", "c.*")
     out, checked = [], FEATURES.index("luhn")
     for r in found.collect():
