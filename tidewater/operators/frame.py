@@ -159,6 +159,26 @@ def map_overlap(df: DataFrame, func: Callable, schema: str, partition: list[str]
     return df.groupBy(*partition).applyInPandas(lambda p: func(p.sort_values(order), before, after), schema)
 
 
+def map_overlap_ordered(df: DataFrame, func: Callable, schema: str, order: list[str], before: int, after: int, partitions: int | None = None) -> DataFrame:
+    """func on pandas frames of the rows in order, each with the `before` rows ahead of it and the `after` rows behind it.
+
+    func gives a row for each row that it gets; those of the rows ahead and behind are dropped again.
+    """
+    from tidewater.operators.windows import overlapped
+
+    rows = overlapped(df, order, before, after, partitions)
+    names = df.columns
+
+    def run(p):
+        p = p.sort_values("pos_")
+        found, own = func(p[names].reset_index(drop=True)), ~p["halo_"].to_numpy()
+        if len(found) != len(own):
+            raise ValueError("func must give a row for each row")
+        return found[own]
+
+    return rows.groupBy("part_").applyInPandas(run, schema)
+
+
 def pipe(df: DataFrame, func: Callable, *args, **kwargs) -> DataFrame:
     return df.transform(func, *args, **kwargs)
 

@@ -72,9 +72,54 @@ def quantile(c: str, q: float | list[float], exact: bool = True) -> Column:
     return F.percentile(c, q) if exact else F.percentile_approx(c, q, 10_000)
 
 
-def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """A row for each column: count, mean, std, min, quartiles, max. One pass."""
-    stats = lambda c: F.struct(F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), F.percentile(c, 0.25).alias("q25"), F.percentile(c, 0.5).alias("q50"), F.percentile(c, 0.75).alias("q75"), F.max(c).cast("double").alias("max"))
+#: Values that quantiles_exact() sorts at once at the end.
+FEW = 100_000
+
+
+def quantiles_exact(df: DataFrame, c: str, qs: list[float], few: int = FEW) -> list[float | None]:
+    """Quantiles by linear interpolation over all rows, exact, in memory that doesn't grow with the data.
+
+    Approximate percentiles on both sides of the place looked for are counted exactly: either one of them stands there, or it
+    lies on a known side of them, where the search goes on until at most `few` values are left, which are sorted.
+    """
+    values = df.select(F.col(c).cast("double").alias("v")).filter("v is not null and not isnan(v)")
+    n = values.count()
+    if not n:
+        return [None] * len(qs)
+
+    def at(rank: int) -> float:
+        inside, size, left = values, n, rank  # the value is the one at `left` of the `size` values inside
+        while size > few:
+            a, b = inside.agg(F.percentile_approx("v", [max(0.0, (left + 0.5) / size - 0.002), min(1.0, (left + 0.5) / size + 0.002)], 10_000)).first()[0]
+            v = F.col("v")
+            under, upto, before, last = inside.agg(F.count_if(v < a), F.count_if(v <= a), F.count_if(v < b), F.count_if(v <= b)).first()
+            if under <= left < upto:
+                return a
+            if before <= left < last:
+                return b
+            if left < under:
+                inside, size = inside.filter(v < a), under
+            elif left < before:
+                inside, size, left = inside.filter((v > a) & (v < b)), before - upto, left - upto
+            else:
+                inside, size, left = inside.filter(v > b), size - last, left - last
+        return inside.orderBy("v").offset(left).limit(1).first().v
+
+    out = []
+    for q in qs:
+        place = q * (n - 1)
+        first = at(int(place))
+        out.append(first if place == int(place) else first + (at(int(place) + 1) - first) * (place - int(place)))
+    return out
+
+
+def describe(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
+    """A row for each column: count, mean, std, min, quartiles, max. One pass.
+
+    Exact quartiles hold a count of each distinct value; with exact=False they are approximate and of bounded size.
+    """
+    q = lambda c, p: F.percentile(c, p) if exact else F.percentile_approx(c, p, 10_000).cast("double")
+    stats = lambda c: F.struct(F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), q(c, 0.25).alias("q25"), q(c, 0.5).alias("q50"), q(c, 0.75).alias("q75"), F.max(c).cast("double").alias("max"))
     return df.agg(F.array(*map(stats, columns)).alias("s")).select(F.inline("s"))
 
 

@@ -88,6 +88,69 @@ class Rolling:
         return self._kept(c, func(F.collect_list(c).over(self.w)))
 
 
+# Windows over a whole frame, without a partition key ----------------------------------------------------
+
+
+def numbered(df: DataFrame, order: list[str], partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """df dealt by ranges of its order, with its range part_ and its place pos_ in the whole (from 0); and (part_, start_, n_) of each range.
+
+    Rows of equal order share a range; the second frame has a row for each range.
+    """
+    from tidewater.plans.recursion import settle
+
+    dealt = settle((df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)).withColumn("part_", F.spark_partition_id()))
+    sizes = dealt.groupBy("part_").agg(F.count(F.lit(1)).alias("n_"))
+    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    ranges = settle(sizes.withColumn("start_", F.coalesce(F.sum("n_").over(before), F.lit(0).cast("long"))))
+    own = F.row_number().over(Window.partitionBy("part_").orderBy(*order)) - 1
+    return dealt.join(F.broadcast(ranges.select("part_", "start_")), "part_").withColumn("pos_", F.col("start_") + own).drop("start_"), ranges
+
+
+def overlapped(df: DataFrame, order: list[str], before: int, after: int, partitions: int | None = None) -> DataFrame:
+    """numbered(), each range with copies of the `before` rows ahead of it and the `after` rows behind it, which have halo_ set."""
+    rows, ranges = numbered(df, order, partitions)
+    spans = [(r.part_, r.start_, r.start_ + r.n_) for r in ranges.collect()]  # one for each range
+    other = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(a).alias("a"), F.lit(b).alias("b")) for p, a, b in spans)) if spans else F.array().cast("array<struct<p:int,a:long,b:long>>")
+    near = F.filter(other, lambda s: (s.p != F.col("part_")) & (F.col("pos_") >= s.a - before) & (F.col("pos_") < s.b + after))
+    copies = F.transform(near, lambda s: F.struct(s.p.alias("part_"), F.lit(True).alias("halo_")))
+    to = F.concat(F.array(F.struct(F.col("part_"), F.lit(False).alias("halo_"))), copies)
+    return rows.withColumn("to_", F.explode(to)).withColumn("part_", F.col("to_.part_")).withColumn("halo_", F.col("to_.halo_")).drop("to_")
+
+
+def over_frame(df: DataFrame, order: list[str], before: int, after: int, columns, partitions: int | None = None) -> DataFrame:
+    """Window expressions over the whole frame in order, that look at most so many rows back and ahead.
+
+    columns(partition, order) gives them by name for the partition and order that it is told, as shift(), diff() and Rolling() take.
+    """
+    rows = overlapped(df, order, before, after, partitions)
+    made = rows.select("*", *(c.alias(n) for n, c in columns(["part_"], ["pos_"]).items()))
+    return made.filter(~F.col("halo_")).drop("part_", "pos_", "halo_")
+
+
+def cumulative_frame(df: DataFrame, c: str, how: str, order: list[str], out: str, partitions: int | None = None) -> DataFrame:
+    """A running sum, prod, max or min over the whole frame in order: within ranges, on what the ranges before add up to."""
+    f = {"sum": F.sum, "prod": lambda x: F.product(F.col(x) if isinstance(x, str) else x), "max": F.max, "min": F.min}[how]
+    join = {"sum": lambda a, b: a + b, "prod": lambda a, b: a * b, "max": F.greatest, "min": F.least}[how]
+    rows, _ = numbered(df, order, partitions)
+    totals = rows.groupBy("part_").agg(f(c).alias("t_")).withColumn("carry_", f("t_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)))  # a row for each range
+    own = f(c).over(Window.partitionBy("part_").orderBy("pos_").rowsBetween(Window.unboundedPreceding, 0))
+    made = rows.join(F.broadcast(totals.select("part_", "carry_")), "part_").withColumn("own_", own)
+    both = F.when(F.col("carry_").isNull(), F.col("own_")).when(F.col("own_").isNull(), F.col("carry_")).otherwise(join(F.col("carry_"), F.col("own_")))
+    return made.withColumn(out, both).drop("part_", "pos_", "carry_", "own_")
+
+
+def fill_frame(df: DataFrame, c: str, order: list[str], out: str, forward: bool = True, partitions: int | None = None) -> DataFrame:
+    """Nulls filled with the last value before (or the next one behind) in the whole frame's order."""
+    rows, _ = numbered(df, order, partitions)
+    ends = rows.filter(F.col(c).isNotNull()).groupBy("part_").agg((F.max_by(c, "pos_") if forward else F.min_by(c, "pos_")).alias("e_"))
+    parts = rows.groupBy("part_").agg(F.count(F.lit(1)).alias("n_")).join(ends, "part_", "left")
+    w = Window.orderBy(F.col("part_") if forward else F.desc("part_")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    carry = parts.select("part_", F.last("e_", ignorenulls=True).over(w).alias("carry_"))
+    at = Window.partitionBy("part_").orderBy(F.col("pos_") if forward else F.desc("pos_")).rowsBetween(Window.unboundedPreceding, 0)
+    made = rows.join(F.broadcast(carry), "part_").withColumn(out, F.coalesce(F.last(c, ignorenulls=True).over(at), F.col("carry_")))
+    return made.drop("part_", "pos_", "carry_")
+
+
 def resample(df: DataFrame, ts: str, width: str, aggs: dict[str, Column], keys: list[str] | None = None, empty: bool = True, label: str = "left") -> DataFrame:
     """Aggregates by tumbling buckets of time, empty ones included, from the first to the last of all rows (or of each key)."""
     keys = keys or []

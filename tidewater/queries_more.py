@@ -338,6 +338,50 @@ def _columns(spark, d):
     return df.select("okey", "l_linenumber", "rounded", "qty", "twice", "clipped", "clip_up", "clip_low", "flag", "missing", "there", "joined")
 
 
+_ALL = "ORDER BY ts, event_id"
+
+
+@_query("df_frame_windows", f"SELECT event_id, ROUND(SUM(value) OVER ({_ALL} ROWS UNBOUNDED PRECEDING), 3) AS total, MAX(value) OVER ({_ALL} ROWS UNBOUNDED PRECEDING) AS top FROM events")
+def _frame_windows(spark, d):
+    """Running values over the whole frame, no partition key: no task sees more than its range."""
+    e = _t(spark, d, "events").select("event_id", "ts", "value")
+    out = windows.cumulative_frame(windows.cumulative_frame(e, "value", "sum", ["ts", "event_id"], "total", 6), "value", "max", ["ts", "event_id"], "top", 6)
+    return out.select("event_id", F.round("total", 3).alias("total"), "top")
+
+
+@_query("df_frame_rolling", f"SELECT event_id, LAG(value, 2) OVER ({_ALL}) AS back, value - LAG(value) OVER ({_ALL}) AS step, LEAD(value, 3) OVER ({_ALL}) AS ahead, CASE WHEN COUNT(value) OVER r >= 7 THEN ROUND(SUM(value) OVER r, 4) END AS s, CASE WHEN COUNT(value) OVER c >= 4 THEN MAX(value) OVER c END AS m FROM events WINDOW r AS ({_ALL} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), c AS ({_ALL} ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING)")
+def _frame_rolling(spark, d):
+    def columns(partition, order):
+        r, c = windows.Rolling(partition, order, rows=7), windows.Rolling(partition, order, rows=4, center=True)
+        return {"back": windows.shift("value", partition, order, 2), "step": windows.diff("value", partition, order), "ahead": windows.shift("value", partition, order, -3), "s": F.round(r.sum("value"), 4), "m": c.max("value")}
+
+    return windows.over_frame(_t(spark, d, "events").select("event_id", "ts", "value"), ["ts", "event_id"], 6, 3, columns, 6).drop("ts", "value")
+
+
+@_query("df_frame_fill", f"SELECT event_id, LAST_VALUE(v IGNORE NULLS) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS f, FIRST_VALUE(v IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM (SELECT event_id, CASE WHEN event_id % 5 IN (0, 1) OR event_id < 40 THEN NULL ELSE value END AS v FROM events)")
+def _frame_fill(spark, d):
+    e = _t(spark, d, "events").select("event_id", F.when(~(F.col("event_id") % 5).isin(0, 1) & (F.col("event_id") >= 40), F.col("value")).alias("v"))
+    return windows.fill_frame(windows.fill_frame(e, "v", ["event_id"], "f", True, 6), "v", ["event_id"], "b", False, 6).drop("v")
+
+
+@_query("df_map_overlap", "SELECT event_id, ROUND(value + COALESCE(LAG(value) OVER (ORDER BY event_id), 0) + COALESCE(LEAD(value) OVER (ORDER BY event_id), 0), 4) AS v FROM events")
+def _map_overlap(spark, d):
+    """A pandas function that looks one row back and ahead, across the borders of partitions."""
+
+    def near(p):
+        return p.assign(v=(p.value + p.value.shift(1).fillna(0) + p.value.shift(-1).fillna(0)).round(4))[["event_id", "v"]]
+
+    return frame.map_overlap_ordered(_t(spark, d, "events").select("event_id", "value"), near, "event_id long, v double", ["event_id"], 1, 1, 6)
+
+
+@_query("df_quantiles_exact", "SELECT unnest([0.0, 0.1, 0.25, 0.5, 0.9, 0.999, 1.0]) AS q, ROUND(unnest(quantile_cont(l_extendedprice, [0.0, 0.1, 0.25, 0.5, 0.9, 0.999, 1.0])), 5) AS v, unnest(quantile_cont(l_quantity, [0.0, 0.1, 0.25, 0.5, 0.9, 0.999, 1.0])) AS w FROM lineitem")
+def _quantiles(spark, d):
+    """Exact quantiles without a buffer of all values."""
+    li, qs = _t(spark, d, "lineitem"), [0.0, 0.1, 0.25, 0.5, 0.9, 0.999, 1.0]
+    found = zip(qs, stats.quantiles_exact(li, "l_extendedprice", qs, 500), stats.quantiles_exact(li, "l_quantity", qs, 500))
+    return spark.createDataFrame([(q, round(v, 5), w) for q, v, w in found], "q double, v double, w double")
+
+
 _HOLES = "(SELECT event_id, user_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS v, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_type END AS t FROM events)"
 
 
@@ -653,3 +697,73 @@ def _tasks(spark, d):
 _program("ml_wildcard", "N = scan(nation); R = scan(region); X = [from N, R where N.n_regionkey = R.r_regionkey emit N.*, R.r_name as r];", "SELECT n.*, r_name AS r FROM nation n, region r WHERE n_regionkey = r_regionkey")
 _program("ml_limit_distinct", "N = scan(nation); D = distinct([from N emit n_regionkey as k]); C = cross(D, [from limit([from N emit n_nationkey as m order by m], 2) as L emit m]); X = [from C emit k, m];", "SELECT k, m FROM (SELECT DISTINCT n_regionkey AS k FROM nation), (SELECT n_nationkey AS m FROM nation ORDER BY m LIMIT 2)")
 
+
+
+@_query("ml_statements", "SELECT what, n FROM (SELECT 'stored' AS what, COUNT(*) AS n FROM nation WHERE n_regionkey > 1 UNION ALL SELECT 'dumped', COUNT(*) FROM region UNION ALL SELECT 'loaded', COUNT(*) FROM region UNION ALL SELECT 'empty', 0 UNION ALL SELECT 'sampled', 7 UNION ALL SELECT 'countall', COUNT(*) FROM nation UNION ALL SELECT 'bag', 2 * COUNT(*) FROM nation UNION ALL SELECT 'crossed', 25 * 5)")
+def _statements(spark, d):
+    """STORE, SINK, DUMP, EXPORT, LOAD, EMPTY, SAMPLESCAN, COUNTALL, bag unions and CROSS by the rows that they give."""
+    at = _folder(spark)
+    lang = Interpreter(spark, {"nation": _t(spark, d, "nation"), "region": _t(spark, d, "region")})
+    bound = lang.run(f"""
+        N = scan(nation); R = scan(region);
+        S = [from N where n_regionkey > 1 emit n_nationkey, n_name];
+        store(S, kept); sink(S); dump(R); export(R, '{at}/r');
+        E = empty(a:int, b:string);
+        P = samplescan(nation, 7, WoR);
+        C = countall(N); B = N + N; X = cross(N, R);""")
+    again = Interpreter(spark, {"kept": lang.stored["kept"]}).run(f"T = scan(kept); L = load('{at}/r', csv(schema(k:int, name:string), skip=0));")
+    count = lambda x: x.agg(F.count(F.lit(1)).alias("n"))
+    parts = {"stored": count(again["T"]), "dumped": count(lang.dumped[0]), "loaded": count(again["L"].filter("k is not null")), "empty": count(bound["E"]), "sampled": count(bound["P"]), "countall": bound["C"].toDF("n"), "bag": count(bound["B"]), "crossed": count(bound["X"])}
+    return relational.union_all(*(x.select(F.lit(k).alias("what"), F.col("n").cast("long").alias("n")) for k, x in parts.items()))
+
+
+_program("ml_expressions", "P = scan(part); X = [from P emit p_partkey, -p_size as neg, md5(p_name) as h, byterange(p_name, 1, 4) as piece, greater(p_size, 20) as hi, lesser(p_size, 20) as lo, random() < 2 as coin, worker_id() >= 0 as worker, flip(2) as heads, theanswertolifetheuniverseandeverything() as answer, pow(p_size, 2) as square, head(p_name, 3) as first, tail(p_name, 3) as last, concat(p_brand, p_type) as both];".replace("theanswertolifetheuniverseandeverything", "theansweristolifetheuniverseandeverything"), "SELECT p_partkey, -p_size AS neg, CAST(CAST('0x' || substr(md5(p_name), 1, 16) AS UBIGINT) AS DECIMAL(20, 0)) AS h, substr(p_name, 2, 3) AS piece, greatest(p_size, 20) AS hi, least(p_size, 20) AS lo, true AS coin, true AS worker, true AS heads, 42 AS answer, CAST(p_size * p_size AS DOUBLE) AS square, left(p_name, 3) AS first, right(p_name, 3) AS last, p_brand || p_type AS both FROM part")
+_program("ml_positions", "N = scan(nation); R = scan(region); J = join(N, $2, R, $0); X = [from J emit $0 as n, $4 as r];", "SELECT n_nationkey AS n, r_name AS r FROM nation, region WHERE n_regionkey = r_regionkey")
+
+
+@_query("ml_python", "SELECT n_nationkey, CAST(length(n_name) * 3 AS BIGINT) AS v FROM nation")
+def _python(spark, d):
+    lang = Interpreter(spark, {"nation": _t(spark, d, "nation")})
+    lang.register_udf("thrice", lambda s: s.str.len() * 3, "long")
+    return lang.run("N = scan(nation); X = [from N emit n_nationkey, thrice(n_name) as v];")["X"]
+
+
+@_query("ra_hypercube", "SELECT l_orderkey, l_linenumber, o_custkey FROM lineitem, orders WHERE l_orderkey = o_orderkey AND l_quantity > 40")
+def _hypercube(spark, d):
+    """A join of both sides dealt over a grid: each row of one side meets the other side's rows of its key in one cell."""
+    li = _t(spark, d, "lineitem").filter("l_quantity > 40").select("l_orderkey", "l_linenumber")
+    return relational.join(relational.shuffle(li, ["l_orderkey"], 6), relational.shuffle(_t(spark, d, "orders"), ["o_orderkey"], 6), F.col("l_orderkey") == F.col("o_orderkey"), ["l_orderkey", "l_linenumber", "o_custkey"])
+
+
+@_query("io_sql", "SELECT r_regionkey, r_name FROM region UNION ALL SELECT r_regionkey + 100, r_name FROM region WHERE r_regionkey > 2")
+def _io_sql(spark, d):
+    """Written to and read from a database by JDBC: one in memory, whose driver comes with Spark."""
+    import uuid
+
+    r = _t(spark, d, "region").select("r_regionkey", "r_name")
+    url = f"jdbc:derby:memory:tw{uuid.uuid4().hex};create=true"
+    how = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    io.to_sql(r, "regions", url, properties=how)
+    io.to_sql(r.filter("r_regionkey > 2").withColumn("r_regionkey", F.col("r_regionkey") + 100), "regions", url, if_exists="append", properties=how)
+    return recursion.settle(io.read_sql_table(spark, "regions", url, properties=how)).toDF("r_regionkey", "r_name")
+
+
+@_query("arr_along", f"SELECT i, ROUND(MAX(v) - MIN(v), 6) AS v FROM {_CELLS} WHERE i < 40 GROUP BY i")
+def _along(spark, d):
+    return arrays_more.apply_along_axis(_cells(spark, d).filter("i < 40"), "j", lambda x: x.max() - x.min()).select("i", F.round("v", 6).alias("v"))
+
+
+@_query("arr_elementwise", f"SELECT i, j, v * 3 + 1 AS v, CAST(v <> 0 AS BOOLEAN) AS nonzero, round_even(v, 1) AS rounded, CAST(abs(v - v * 1.000001) <= 1e-8 + 1e-5 * abs(v * 1.000001) AS BOOLEAN) AS close, (i * 32 + j) // 32 AS row, (i * 32 + j) % 32 AS col FROM {_CELLS} WHERE j < 32")
+def _elements(spark, d):
+    a = _cells(spark, d).filter("j < 32")
+    row, col = arrays_more.unravel(F.col("i") * 32 + F.col("j"), (1 << 40, 32))
+    out = arrays.elementwise(a, a, lambda x, y: x + 2 * y + 1).withColumnRenamed("v", "w").join(a, ["i", "j"])
+    return out.select("i", "j", F.col("w").alias("v"), (F.col("v") != 0).alias("nonzero"), frame.round_half_even("v", 1).alias("rounded"), arrays_more.isclose(F.col("v"), F.col("v") * 1.000001).alias("close"), row.alias("row"), col.alias("col"))
+
+
+@_query("arr_power_divergence", "SELECT ROUND(SUM((o - e) * (o - e) / e), 5) AS pearson, ROUND(2 * SUM(o * LN(o / e)), 5) AS g FROM (SELECT CAST(COUNT(*) AS DOUBLE) AS o, (SELECT COUNT(*) FROM lineitem) / CAST((SELECT COUNT(DISTINCT l_linenumber) FROM lineitem) AS DOUBLE) AS e FROM lineitem GROUP BY l_linenumber)")
+def _divergence(spark, d):
+    o = _t(spark, d, "lineitem").groupBy("l_linenumber").agg(F.count(F.lit(1)).cast("double").alias("o"))
+    o = o.crossJoin(o.agg(F.avg("o").alias("e")))  # one row
+    first, second = (arrays_more.power_divergence(o, "o", "e", p) for p in (1.0, 0.0))
+    return first.toDF("pearson").crossJoin(second.toDF("g")).select(F.round("pearson", 5).alias("pearson"), F.round("g", 5).alias("g"))
