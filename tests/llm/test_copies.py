@@ -62,6 +62,40 @@ def test_near_copies_against_brute_force(spark, monkeypatch, block):
     assert len(got) == len(texts) and {r.id: r.component for r in got} == want
 
 
+def test_parities_never_rule_out_similar_sets():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    for n in (1, 7, 300, 9000):
+        x = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[: n - n // 9], r.integers(0, 1 << 63, n // 9, dtype=np.uint64)]))
+        differ = int(np.bitwise_count((neardup.parities(x) ^ neardup.parities(y)).view("<u8")).sum())
+        assert differ <= len(np.setxor1d(x, y)) and neardup.parities(x).shape == (neardup.PARITY_WORDS,)
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 1000])
+def test_lists_in_blocks(size):
+    """Whatever the batches, members of lists come back once, long lists in blocks that all hold the first member."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(size)
+    keys = sorted(k for k in range(40) for _ in range(r.choice([1, 1, 2, 3, 4, 5, 8, 9, 17])))
+    ids = list(range(len(keys)))
+    rows = pa.table({"key": keys, "id": ids, "at": [(i << 32) + 5 for i in ids]})
+    got = [x for b in neardup._lists(4)(iter(rows.to_batches(max_chunksize=size))) for x in b.to_pylist()]
+    of = {k: [i for i, x in zip(ids, keys) if x == k] for k in set(keys)}
+    assert sorted((x["key"], x["id"]) for x in got if not x["copy"]) == sorted((k, i) for k, m in of.items() if len(m) > 1 for i in m)
+    assert all((x["n"], x["at"]) == (x["id"], 5) for x in got)
+    for k, members in of.items():
+        mine = [x for x in got if x["key"] == k]
+        if len(members) > 4:
+            blocks = {b: [x["id"] for x in mine if x["block"] == b] for b in {x["block"] for x in mine}}
+            assert all(x["m"] == 5 for x in mine) and all(members[0] in b and len(b) <= 5 for b in blocks.values()) and len(blocks) == -(-len(members) // 4)
+        else:
+            assert all((x["m"], x["block"], x["copy"]) == (len(members), 0, 0) for x in mine)
+
+
 @pytest.mark.parametrize("changes", [1, 2])
 def test_stage_drops_planted_near_copies(spark, changes):
     r = random.Random(changes)

@@ -5,13 +5,15 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch: what a Python worker holds at once, whatever the partition's size.
 BATCH_ROWS = 1000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,10 +83,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """As written(), and the table's path."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    with tidy(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the jobs inside go when their job ends, not when its plan is collected as garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 #: A key with more rows than this is joined by broadcast: there are at most HOT_KEYS such keys, whatever the table's size.
 HOT_ROWS, HOT_KEYS = 200_000, 10_000
 

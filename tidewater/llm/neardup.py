@@ -44,9 +44,13 @@ LONG, DENSE = 2048, 256
 #: The pipeline's stage: words of a shingle, least Jaccard similarity.
 WORDS, SIMILARITY = 5, "0.8"
 #: Lists up to SHORT give all pairs at once. One text in SAMPLED tells which hashes OFTEN texts or more have, of which the MOST frequent are kept.
-SHORT, SAMPLED, OFTEN, MOST = 64, 10, 50, 500_000
+SHORT, SAMPLED, OFTEN, MOST = 4, 10, 50, 500_000
 #: Members of a list that meet in one task; longer lists are cut into blocks of about so many.
 BLOCK = 4096
+#: Bits of a set's parities, in 64-bit words.
+PARITY_WORDS = 16
+#: Ids up to this number, 16 MB of them, are broadcast to pick their texts.
+FEW_IDS = 1_000_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _TRIPLES = [(h + a, h + b, h + c) for h in (0, 4) for a, b, c in ((0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3))]
 #: Ids of classes that have no doc_id start here.
@@ -319,8 +323,62 @@ def _may(n: np.ndarray, at: np.ndarray, i, j, least: Fraction) -> np.ndarray:
     return (s * np.minimum(n[i], n[j]) >= t * np.maximum(n[i], n[j])) & ((s + t) * most >= t * (n[i] + n[j]))
 
 
+def _lists(block: int):
+    """Of rows (key, id, at) sorted by key and id, those whose key has others, in blocks: key, id, n, at, m, block, copy.
+
+    `at` holds the size of the member's set in its upper 32 bits and the key's place in it in the lower ones. m is the length
+    of a list of up to `block` members; longer ones are cut into blocks, have m = block + 1, and their first member again, as a
+    copy, in all of the blocks. No more than a block is held at once.
+    """
+
+    def out(key, id_, at, m, number=0, copy=0) -> pa.RecordBatch:
+        full = lambda x: np.full(len(key), x, np.int64) if np.isscalar(x) else x
+        return _batch("key id n at m block copy", key, id_, at >> 32, at & 0xFFFFFFFF, full(m), full(number), full(copy))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.zeros(0, np.int64) for _ in range(3)]  # rows of the last key
+        number, head = 0, None  # the block that comes next, if the last key has had some, and its first member
+
+        def cut(rows, first) -> Iterator[pa.RecordBatch]:
+            """rows of a long list as blocks, the next of which is the first-th."""
+            for n, f in enumerate(range(0, len(rows[0]), block), first):
+                yield out(*(x[f : f + block] for x in rows), block + 1, n)
+                if n:
+                    yield out(*head, block + 1, n, 1)
+
+        for b in batches:
+            key, id_, at = (np.concatenate(p) for p in zip(rest, (c.to_numpy(zero_copy_only=False) for c in b.columns)))
+            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            ends = np.append(begin[1:], len(key))
+            if number and len(begin) > 1:  # the rest of a long list
+                yield from cut([x[: ends[0]] for x in (key, id_, at)], number)
+                number, head, begin, ends = 0, None, begin[1:], ends[1:]
+            whole = slice(0, max(0, len(begin) - 1))
+            size = ends[whole] - begin[whole]
+            member = np.repeat((size > 1) & (size <= block), size)
+            if member.any():
+                low, high = begin[0], ends[whole][-1]
+                yield out(*(x[low:high][member] for x in (key, id_, at)), np.repeat(size, size)[member])
+            for s, e in zip(begin[whole][size > block].tolist(), ends[whole][size > block].tolist()):
+                head = [x[s : s + 1] for x in (key, id_, at)]
+                yield from cut([x[s:e] for x in (key, id_, at)], 0)
+                head = None
+            last = begin[-1] if len(begin) else 0
+            rest = [x[last:] for x in (key, id_, at)]
+            if full_blocks := (len(rest[0]) - 1) // block if len(rest[0]) else 0:
+                head = head or [x[:1] for x in rest]
+                yield from cut([x[: full_blocks * block] for x in rest], number)
+                rest, number = [x[full_blocks * block :] for x in rest], number + full_blocks
+        if number:
+            yield from cut(rest, number)
+        elif len(rest[0]) > 1:
+            yield out(*rest, len(rest[0]))
+
+    return run
+
+
 def _first_pairs(least: Fraction):
-    """All pairs of each list of at most SHORT; of longer ones each member with the first and the next in an order of the list's own."""
+    """All pairs of each list of at most SHORT; of longer ones each member with the first and the next, by id, so that lists of the same members give the same pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, id_, n, at in _whole(batches):
@@ -332,7 +390,7 @@ def _first_pairs(least: Fraction):
                 i.append((begin[size == m, None] + x).ravel())
                 j.append((begin[size == m, None] + y).ravel())
             for s, m in zip(begin[size > SHORT].tolist(), size[size > SHORT].tolist()):
-                order = s + np.argsort((id_[s : s + m].view("u8") ^ key[s : s + 1].view("u8")) * np.uint64(0x9E3779B97F4A7C15), kind="stable")
+                order = np.arange(s, s + m)
                 i += [order[:-1], np.repeat(order[:1], m - 1)]
                 j += [order[1:], order[1:]]
             i, j = np.concatenate(i), np.concatenate(j)
@@ -360,24 +418,36 @@ def _other_pairs(least: Fraction):
     return run
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, shingle: int, least: Fraction) -> DataFrame:
-    """Those of pairs (a, b) whose texts in rows(id, text) are similar."""
-    pairs = common.written(pairs.distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = common.written(rows.join(ids, "id", "left_semi"), "texts")
+def parities(s: np.ndarray) -> np.ndarray:
+    """For each residue of hashes modulo the number of bits, whether the set has an odd number of them."""
+    odd = np.bincount((s % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _verified(pairs: DataFrame, marks: DataFrame, rows: DataFrame, shingle: int, least: Fraction) -> DataFrame:
+    """Those of pairs (a, b) whose texts in rows(id, text) are similar.
+
+    Similar sets of n and m elements differ in at most (1 - s) / (1 + s) (n + m) of them, and in no more parities than elements.
+    So pairs whose parities in marks(id, n, odd) differ in more go before any text is fetched.
+    """
+    mark = lambda k: marks.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("odd").alias(f"odd_{k}"))
+    differ = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    t, s = least.numerator, least.denominator
+    near = differ * (s + t) <= (F.col("n_a") + F.col("n_b")) * (s - t)
+    pairs = common.written(pairs.distinct().join(mark("a"), "a").join(mark("b"), "b").filter(near).select("a", "b"), "pairs")
+    ids = common.written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+    ids = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
+    texts = rows.join(ids, "id", "left_semi")
     of = lambda k: texts.select(F.col("id").alias(k), F.col("text").alias(f"text_{k}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
         for batch in batches:
             good = []
-            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-                for i, t in ((a, x), (b, y)):
-                    if i not in known:
-                        if len(known) >= 64:
-                            known.clear()
-                        known[i] = shingles(t, shingle)
-                good.append(similar(known[a] if a in known else shingles(x, shingle), known[b], least))
+            for at, (a, b) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:2]))):
+                if a not in known:  # the pairs of one text often follow each other
+                    known = {a: shingles(batch.column(2)[at].as_py(), shingle)}
+                good.append(similar(known[a], shingles(batch.column(3)[at].as_py(), shingle), least))
             good = np.array(good, dtype=bool)
             yield _batch("a b", *(batch.column(c).to_numpy()[good] for c in ("a", "b")))
 
@@ -403,14 +473,16 @@ def near_copies(rows: DataFrame, shingle: int = WORDS, similarity: str = SIMILAR
 
     Texts are linked where the Jaccard similarity of their sets of shingles is at least that. Of two
     such sets, each in one order of all hashes, the first n - ceil(similarity n) + 1 have a hash in
-    common. So the lists of those hashes, rare ones first, give all pairs, and each is verified.
+    common. So the lists of those hashes, rare ones first, give all pairs, and each is verified, by the
+parities of the sets first (see _verified), then by the texts.
     Texts with the same set are one class. Long lists give only as many pairs as members at first;
     the rest of their pairs are taken where the links so found haven't joined the two: members outside
     a list's largest component are held against all. Lists longer than BLOCK meet block by block.
     """
     spark, least = rows.sparkSession, Fraction(similarity)
     common.bound_batches(spark)
-    often = spark.sparkContext.broadcast(frequent(rows, shingle))
+    with common.tidy(spark):
+        often = spark.sparkContext.broadcast(frequent(rows, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -423,32 +495,30 @@ def near_copies(rows: DataFrame, shingle: int = WORDS, similarity: str = SIMILAR
                 first.append(np.concatenate([s[rare], s[~rare]])[: len(s) - math.ceil(least * len(s)) + 1].view("<i8"))
             ends = np.cumsum([0, *map(len, first)])
             keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, "<i8"), *first])))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), keys], names=["id", "same", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([parities(s) for s in sets], pa.list_(pa.int64())), keys], names=["id", "same", "n", "odd", "keys"])
 
-    sets = common.written(rows.select("id", "text").mapInArrow(run, "id long, same binary, n long, keys array<long>"), "sets")
+    sets = common.written(rows.select("id", "text").mapInArrow(run, "id long, same binary, n long, odd array<long>, keys array<long>"), "sets")
+    marks = sets.select("id", "n", "odd")
     classes = common.written(sets.groupBy("same").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "classes")
-    index = sets.join(classes.select("id"), "id", "left_semi").select(F.posexplode("keys").alias("at", "key"), "id", "n").select("key", "id", "n", F.col("at").cast("long").alias("at"))
-    by_key = lambda df: df.repartition("key").sortWithinPartitions("key")
-    counts = common.written(index.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("id", "n", "at")).alias("head")).filter("m > 1"), "counts")
-    blocks, block = F.ceil(F.col("m") / BLOCK), F.pmod(F.xxhash64("id", F.lit(3)), F.ceil(F.col("m") / BLOCK))
-    lists = common.written(common.spread_join(index, counts.select("key", "m", F.col("m").alias("of")), "key", "of").withColumn("block", block), "lists")
-    # the first member of a long list stands in all of its blocks
-    heads = counts.filter(F.col("m") > BLOCK).select("key", "head.*", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), F.col("m"))
-    in_blocks = lists.select("key", "id", "n", "at", "block", "m").union(heads.select("key", "id", "n", "at", "block", "m"))
-    in_blocks = in_blocks.select(F.when(F.col("m") > BLOCK, F.xxhash64("key", "block")).otherwise(F.col("key")).alias("key"), "id", "n", "at")
-    links = common.written(_verified(by_key(in_blocks).mapInArrow(_first_pairs(least), "a long, b long"), rows, shingle, least), "links")
+    at = F.shiftleft(F.col("n"), 32) + F.col("at")
+    index = sets.join(classes.select("id"), "id", "left_semi").select("id", "n", F.posexplode("keys").alias("at", "key")).select("key", "id", at.alias("at"))
+    by_key = lambda df: df.repartition("key").sortWithinPartitions("key", "id")
+    lists = common.written(by_key(index).mapInArrow(_lists(BLOCK), "key long, id long, n long, at long, m long, block long, copy long"), "lists")
+    in_blocks = lists.select(F.when(F.col("m") > BLOCK, F.xxhash64("key", "block")).otherwise(F.col("key")).alias("key"), "id", "n", "at")
+    links = common.written(_verified(by_key(in_blocks).mapInArrow(_first_pairs(least), "a long, b long"), marks, rows, shingle, least), "links")
     roots = components(links)
-    long_lists = lists.filter(F.col("m") > SHORT)
+    long_lists = lists.filter((F.col("m") > SHORT) & (F.col("copy") == 0))
+    blocks = common.written(lists.filter(F.col("m") > BLOCK).groupBy("key").agg((F.max("block") + 1).alias("blocks"), F.count(F.lit(1)).alias("of")), "blocks")
     if not long_lists.isEmpty():
         known = common.written(long_lists.join(roots, "id", "left").select("key", "id", "n", "at", "m", "block", F.coalesce("root", "id").alias("root")), "known")
-        # members of a list's largest component have nothing to ask
-        largest = known.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("largest"), F.sum("c").alias("of"))
+        # lists that are one component by now are done; of others the members of the largest one have nothing to ask
+        largest = known.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("largest"), F.sum("c").alias("of"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").drop("roots")
         asked = common.spread_join(known, common.written(largest, "largest"), "key", "of").withColumn("asks", (F.col("root") != F.col("largest")).cast("long"))
         short = asked.filter(F.col("m") <= BLOCK).select("key", "id", "n", "at", "root", "asks")
         cut = asked.filter(F.col("m") > BLOCK)
         home = cut.select(F.xxhash64("key", "block").alias("key"), "id", "n", "at", "root", F.lit(0).cast("long").alias("asks"))
-        guests = cut.filter("asks = 1").withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).select(F.xxhash64("key", "to").alias("key"), "id", "n", "at", "root", "asks")
-        more = _verified(by_key(short.union(home).union(guests)).mapInArrow(_other_pairs(least), "a long, b long"), rows, shingle, least)
+        guests = common.spread_join(cut.filter("asks = 1"), blocks, "key", "of").withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(F.xxhash64("key", "to").alias("key"), "id", "n", "at", "root", "asks")
+        more = _verified(by_key(short.union(home).union(guests)).mapInArrow(_other_pairs(least), "a long, b long"), marks, rows, shingle, least)
         roots = components(roots.select(F.col("root").alias("a"), F.col("id").alias("b")).union(more))
     of = classes.join(roots, "id", "left").select("same", F.coalesce("root", "id").alias("component"), "n")
     return common.spread_join(sets.select("id", "same"), of, "same").select("id", "component")
