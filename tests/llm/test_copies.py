@@ -111,3 +111,24 @@ def test_rows_are_dropped_not_ids(spark):
     rows = [(1, a), (5, a), (5, b), (None, c), (None, c), (None, c)]
     got = neardup.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, c), (1, a), (5, b)]
+
+
+def test_near_copies_go_through_the_fingerprint_index(spark, monkeypatch):
+    """What the index links, texts with equal fingerprints too, is as by brute force, and near_copies takes its pairs from there."""
+    r = random.Random(5)
+    fps = [r.getrandbits(62) for _ in range(60)]
+    fps += [f ^ sum(1 << b for b in r.sample(range(62), k)) for f in fps[:30] for k in (1, 3, 4)] + fps[:10]
+    root = list(range(len(fps)))
+    for _ in fps:
+        for i in range(len(fps)):
+            root[i] = min(root[j] for j in range(len(fps)) if (fps[i] ^ fps[j]).bit_count() <= neardup.BITS)
+    edges = neardup.fingerprint_pairs(spark.createDataFrame([*enumerate(fps)], "id long, fp long"))
+    assert all((fps[e.a] ^ fps[e.b]).bit_count() <= neardup.BITS for e in edges.collect())
+    got = {x.id: x.root for x in neardup.components(edges).collect()}
+    assert [got.get(i, i) for i in range(len(fps))] == root
+
+    met, before = [], neardup.links
+    monkeypatch.setattr(neardup, "links", lambda classes, *a: met.append(classes.count()) or before(classes, *a))
+    texts = planted()
+    got = neardup.near_copies(spark.createDataFrame([*texts.items()], "id long, text string")).collect()
+    assert met and met[0] > 100 and {x.id: x.component for x in got} == slow_roots(texts)

@@ -16,8 +16,10 @@ a quarter of the remaining 24 bits (4 each, as one quarter must be the same). Su
 Components come from alternating large-star and small-star steps, each written to the shared folder;
 rows of keys that very many rows share are joined by broadcast.
 
-The pipeline's stage goes by the texts themselves: five-word shingles with a Jaccard similarity of
-0.8 or more, found exactly (`near_copies`).
+The pipeline's stage links texts by five-word shingles with a Jaccard similarity of 0.8 or more
+(`near_copies`). Fingerprints of these go through the same index, and what it links is verified by the
+shingles. As texts so similar can differ in more than 3 bits, lists of rare shingles give the rest, so
+that no such pair is missed.
 
 Defined results: null and empty texts have fingerprint zero, linked like any other. A null doc_id
 links but is nobody's component; component_id is null where no id is reachable. Repeated rows get
@@ -28,7 +30,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -74,15 +76,20 @@ def _hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
         yield np.array([digest(line[a:b], SEED) for a, b in zip(starts[i : i + 65536], stops[i : i + 65536])], dtype="<u8")
 
 
-def fingerprint(text: str | None) -> int:
-    """SimHash of the text's shingles."""
+def simhash(pieces: Iterable[np.ndarray]) -> int:
+    """A bit is 1 if set in over half the hashes."""
     total, n = np.zeros(64, np.int64), 0
-    for h in _hashes(text, SHINGLE):
+    for h in pieces:
         total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         n += len(h)
     return int.from_bytes(np.packbits(2 * total > n, bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: str | None) -> int:
+    """SimHash of the text's shingles."""
+    return simhash(_hashes(text, SHINGLE))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = np.array([fingerprint(t) for t in b.column("text").to_pylist()], dtype="<u8").view("<i8")
@@ -468,18 +475,26 @@ def frequent(rows: DataFrame, shingle: int) -> np.ndarray:
     return np.sort(keys.view("<u8"))
 
 
+def fingerprint_pairs(texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts(id, fp) that the index of fingerprint bytes links; texts with the same fingerprint are paired with the first of them."""
+    same = common.written(texts.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "fingerprints")
+    equal = common.spread_join(texts, same.filter("n > 1"), "fp").filter("first <> id").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    return equal.union(links(same.select("fp", F.col("first").alias("id"))))
+
+
 def near_copies(rows: DataFrame, shingle: int = WORDS, similarity: str = SIMILARITY) -> DataFrame:
     """id and component (its least id) of each row of rows(id, text); ids are distinct.
 
-    Texts are linked where the Jaccard similarity of their sets of shingles is at least that. Of two
-    such sets, each in one order of all hashes, the first n - ceil(similarity n) + 1 have a hash in
-    common. So the lists of those hashes, rare ones first, give all pairs, and each is verified, by the
-parities of the sets first (see _verified), then by the texts.
-    Texts with the same set are one class. Long lists give only as many pairs as members at first;
-    the rest of their pairs are taken where the links so found haven't joined the two: members outside
-    a list's largest component are held against all. Lists longer than BLOCK meet block by block.
+    Texts are linked where the Jaccard similarity of their sets of shingles is at least that. Texts
+    with the same set are one class. Pairs are those that the fingerprints' index links, then those that
+    differ in more bits: of two similar sets, each in one order of all hashes, the first
+    n - ceil(similarity n) + 1 have a hash in common, so that the lists of those hashes, rare ones first,
+    have all pairs. Each is verified, by the parities of the sets first (see _verified), then by the
+    texts. Long lists give only as many pairs as members at first; the rest of their pairs are taken
+    where the links so found haven't joined the two: members outside a list's largest component are held
+    against all. Lists longer than BLOCK meet block by block.
     """
-    spark, least = rows.sparkSession, Fraction(similarity)
+    spark, least, since = rows.sparkSession, Fraction(similarity), common.given()
     common.bound_batches(spark)
     with common.tidy(spark):
         often = spark.sparkContext.broadcast(frequent(rows, shingle))
@@ -495,18 +510,19 @@ parities of the sets first (see _verified), then by the texts.
                 first.append(np.concatenate([s[rare], s[~rare]])[: len(s) - math.ceil(least * len(s)) + 1].view("<i8"))
             ends = np.cumsum([0, *map(len, first)])
             keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, "<i8"), *first])))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([parities(s) for s in sets], pa.list_(pa.int64())), keys], names=["id", "same", "n", "odd", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.array([simhash(s[i : i + 65536] for i in range(0, len(s), 65536)) for s in sets], dtype="<u8").view("<i8")), pa.array([parities(s) for s in sets], pa.list_(pa.int64())), keys], names=["id", "same", "n", "fp", "odd", "keys"])
 
-    sets = common.written(rows.select("id", "text").mapInArrow(run, "id long, same binary, n long, odd array<long>, keys array<long>"), "sets")
+    sets = common.written(rows.select("id", "text").mapInArrow(run, "id long, same binary, n long, fp long, odd array<long>, keys array<long>"), "sets")
     marks = sets.select("id", "n", "odd")
-    classes = common.written(sets.groupBy("same").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "classes")
+    classes = common.written(sets.groupBy("same").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.min("fp").alias("fp")), "classes")
+    near = common.written(_verified(fingerprint_pairs(classes.select("id", "fp")), marks, rows, shingle, least), "near")
     at = F.shiftleft(F.col("n"), 32) + F.col("at")
     index = sets.join(classes.select("id"), "id", "left_semi").select("id", "n", F.posexplode("keys").alias("at", "key")).select("key", "id", at.alias("at"))
     by_key = lambda df: df.repartition("key").sortWithinPartitions("key", "id")
     lists = common.written(by_key(index).mapInArrow(_lists(BLOCK), "key long, id long, n long, at long, m long, block long, copy long"), "lists")
     in_blocks = lists.select(F.when(F.col("m") > BLOCK, F.xxhash64("key", "block")).otherwise(F.col("key")).alias("key"), "id", "n", "at")
-    links = common.written(_verified(by_key(in_blocks).mapInArrow(_first_pairs(least), "a long, b long"), marks, rows, shingle, least), "links")
-    roots = components(links)
+    found = by_key(in_blocks).mapInArrow(_first_pairs(least), "a long, b long").join(near, ["a", "b"], "left_anti")
+    roots = components(_verified(found, marks, rows, shingle, least).union(near))
     long_lists = lists.filter((F.col("m") > SHORT) & (F.col("copy") == 0))
     blocks = common.written(lists.filter(F.col("m") > BLOCK).groupBy("key").agg((F.max("block") + 1).alias("blocks"), F.count(F.lit(1)).alias("of")), "blocks")
     if not long_lists.isEmpty():
@@ -521,7 +537,9 @@ parities of the sets first (see _verified), then by the texts.
         more = _verified(by_key(short.union(home).union(guests)).mapInArrow(_other_pairs(least), "a long, b long"), marks, rows, shingle, least)
         roots = components(roots.select(F.col("root").alias("a"), F.col("id").alias("b")).union(more))
     of = classes.join(roots, "id", "left").select("same", F.coalesce("root", "id").alias("component"), "n")
-    return common.spread_join(sets.select("id", "same"), of, "same").select("id", "component")
+    out, path = common.written_at(common.spread_join(sets.select("id", "same"), of, "same").select("id", "component"), "near-copies")
+    common.clear(spark, since, keep=(path,))
+    return out
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -530,10 +548,12 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are numbered and dropped by number: what shares a doc_id with a copy, or has none, is judged by its own text.
     """
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_"), F.col("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    rows = common.written(rows.withColumn("id", F.monotonically_increasing_id()), "rows")
+    since = common.given()
+    rows, whole = common.written_at(rows.withColumn("id", F.monotonically_increasing_id()), "rows")
     found = near_copies(rows.select("id", "text")).join(rows.select("id", "doc_id", F.xxhash64("text").alias("hash")), "id")
     order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "hash", "id")
     found = common.written(found.select("component", order.alias("o")), "components")
     groups = found.groupBy("component").agg(F.min("o").alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    drop = common.written(common.spread_join(found, common.written(groups, "groups"), "component").filter("o <> kept").select("o.id"), "copies")
+    drop, path = common.written_at(common.spread_join(found, common.written(groups, "groups"), "component").filter("o <> kept").select("o.id"), "copies")
+    common.clear(spark, since, keep=(whole, path))
     return common.unpacked(rows.join(drop, "id", "left_anti"), docs.columns)
