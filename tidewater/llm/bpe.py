@@ -26,6 +26,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -318,7 +319,8 @@ def encode(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("d
             cols = list(b.columns[:-1])
             names = [f"k{i}" for i in range(len(keep))]
             if with_ids:
-                cols.append(pa.array([array("I", x).tolist() for x in found], pa.list_(pa.int32())))
+                ends = pa.array(accumulate((len(x) // 4 for x in found), initial=0), pa.int32())
+                cols.append(pa.ListArray.from_arrays(ends, pa.Array.from_buffers(pa.int32(), ends[-1].as_py(), [None, pa.py_buffer(b"".join(found))])))
                 names.append("ids")
             cols += [pa.array([len(x) // 4 for x in found], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in found]), pa.array([hashlib.sha256(c.decode(x).encode("utf-8", "surrogatepass")).hexdigest() for x in found])]
             yield pa.RecordBatch.from_arrays(cols, names=[*names, "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -359,7 +359,7 @@ def op6(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of the benchmark, with their columns; rows are judged each by its own text."""
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_"), F.col("text").alias("text_"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_"))
     rows = common.written(rows.withColumn("key_", F.monotonically_increasing_id()), "rows")
-    found = searched(rows, common.table(spark, sf_dir, "benchmark")).filter(F.size("spans") > 0).select("key_")
+    found = searched(rows.select("key_", F.col("row_")["text"].alias("text_")), common.table(spark, sf_dir, "benchmark")).filter(F.size("spans") > 0).select("key_")
     return common.unpacked(rows.join(found, "key_", "left_anti"), docs.columns)

@@ -547,10 +547,11 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows are numbered and dropped by number: what shares a doc_id with a copy, or has none, is judged by its own text.
     """
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_"), F.col("text"), F.col("doc_id").cast("long").alias("doc_id"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_"))
     since = common.given()
     rows, whole = common.written_at(rows.withColumn("id", F.monotonically_increasing_id()), "rows")
-    found = near_copies(rows.select("id", "text")).join(rows.select("id", "doc_id", F.xxhash64("text").alias("hash")), "id")
+    text, doc_id = F.col("row_")["text"], F.col("row_")["doc_id"].cast("long")
+    found = near_copies(rows.select("id", text.alias("text"))).join(rows.select("id", doc_id.alias("doc_id"), F.xxhash64(text).alias("hash")), "id")
     order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "hash", "id")
     found = common.written(found.select("component", order.alias("o")), "components")
     groups = found.groupBy("component").agg(F.min("o").alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1")
