@@ -244,3 +244,23 @@ def test_streaming_buckets(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("tw_buckets").agg(F.sum("n")).first()[0] == src.count()
+
+
+def test_sql_through_the_driver_gives_all_rows(spark, monkeypatch):
+    """Nulls, several types and several batches come back whole, and so does what is appended."""
+    import datetime
+    import uuid
+    from decimal import Decimal
+
+    from tidewater.sources import io
+
+    monkeypatch.setattr(io, "SQL_ROWS", 4)
+    rows = [(i, None if i == 3 else f"n{i}", i / 8, Decimal(f"{i}.25"), datetime.date(2020, 1, 1 + i), None if i == 5 else i % 2 == 0) for i in range(11)]
+    df = spark.createDataFrame(rows, "k long, name string, x double, d decimal(8,2), day date, even boolean").repartition(3)
+    url, how = f"jdbc:derby:memory:t{uuid.uuid4().hex};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    io.to_sql(df.limit(0), "t", url, properties=how, on_driver=True)
+    assert io.read_sql_table(spark, "t", url, properties=how, on_driver=True).count() == 0
+    io.to_sql(df, "t", url, if_exists="append", properties=how, on_driver=True)
+    io.to_sql(df.filter("k = 3"), "t", url, if_exists="append", properties=how, on_driver=True)
+    got = io.read_sql_table(spark, "t", url, properties=how, on_driver=True)
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[0]) == sorted([*rows, rows[3]], key=lambda r: r[0])
