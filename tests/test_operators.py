@@ -264,3 +264,24 @@ def test_sql_through_the_driver_gives_all_rows(spark, monkeypatch):
     io.to_sql(df.filter("k = 3"), "t", url, if_exists="append", properties=how, on_driver=True)
     got = io.read_sql_table(spark, "t", url, properties=how, on_driver=True)
     assert sorted(map(tuple, got.collect()), key=lambda r: r[0]) == sorted([*rows, rows[3]], key=lambda r: r[0])
+
+
+def test_nearest_looks_only_within_reach(spark, monkeypatch):
+    """Against all pairs, with ties, equal rows, few training rows and a constant first feature."""
+    import numpy as np
+
+    from tidewater.operators import neighbours
+
+    r = np.random.default_rng(6)
+    monkeypatch.setattr(neighbours, "CHUNK", 5)
+    for n, flat in ((300, False), (300, True), (1, False)):
+        points = [(i, 0.0 if flat else float(r.integers(0, 40)), float(r.integers(0, 3))) for i in range(n + 60)]
+        df = spark.createDataFrame(points, "id long, a double, b double").repartition(3)
+        got = neighbours.nearest(df.filter(f"id < {n}"), df.filter(f"id >= {n}"), "id", ["a", "b"], 2, block=25).collect()
+        want = []
+        for i, a, b in points[n:]:
+            near = sorted(((a - x) ** 2 + (b - y) ** 2, j) for j, x, y in points[:n])[:2]
+            want += [(i, at + 1, j, d) for at, (d, j) in enumerate(near)]
+        assert sorted(map(tuple, got)) == want
+    some = r.normal(size=(500, 2))
+    assert (neighbours._reach(some[:9], some, 2) < 1).all()
