@@ -621,6 +621,25 @@ def test_query_matches_sql(spark, name):
     assert rows(got) == rows(want)
 
 
+def test_a_stage_drops_what_others_keep_in_a_worker():
+    kept = bpe.coder(bpe.default_path())
+    assert bpe.coder(bpe.default_path()) is kept
+    assert list(neardup._fingerprints(iter([]))) == [] and not bpe._CODERS
+
+
+@pytest.mark.parametrize("stage", [neardup.stage, decontaminate.stage])
+def test_few_dropped_rows_shuffle_no_texts(spark, stage):
+    docs = common.table(spark, SF, "documents")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        plan = stage(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
 def test_pipeline_against_brute_force(spark, texts):
     import corpus_pipeline
     from tokenizers import Tokenizer

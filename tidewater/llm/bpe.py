@@ -288,10 +288,11 @@ class Coder:
         return b"".join(map(self.bytes_of.__getitem__, array("I", ids))).decode("utf-8", "replace")
 
 
-_CODERS: dict[str, Coder] = {}
+_CODERS: dict[str, Coder] = common.kept_in_worker()
 
 
 def coder(path: str) -> Coder:
+    common.make_room(_CODERS)
     if path not in _CODERS:
         _CODERS[path] = Coder(path)
     return _CODERS[path]

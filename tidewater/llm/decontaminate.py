@@ -239,6 +239,7 @@ def index(rows: DataFrame) -> DataFrame:
     schema = common.with_fields(rows.select(F.array("key_").alias("keys")).schema, _SHARD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.make_room()
         for batch in batches:
             for b in _shards(batch):
                 p = Postings(b.column("text_").to_pylist())
@@ -264,6 +265,7 @@ def probe(postings: DataFrame, block: DataFrame, size: int = WINDOW, every: bool
     schema = common.with_fields(postings.select(F.element_at("keys", 1).alias("key_")).schema, "n_words long, spans array<array<long>>, items array<string>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.make_room()
         w = sent.value
         for keys, shard in _stored(batches, w.term):
             hit, found = _matches(shard, w)
@@ -362,4 +364,4 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_"))
     rows = common.written(rows.withColumn("key_", F.monotonically_increasing_id()), "rows")
     found = searched(rows.select("key_", F.col("row_")["text"].alias("text_")), common.table(spark, sf_dir, "benchmark")).filter(F.size("spans") > 0).select("key_")
-    return common.unpacked(rows.join(found, "key_", "left_anti"), docs.columns)
+    return common.unpacked(common.only(rows, common.written(found, "found"), "key_", "left_anti"), docs.columns)

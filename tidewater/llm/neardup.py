@@ -51,8 +51,6 @@ SHORT, SAMPLED, OFTEN, MOST = 4, 10, 50, 500_000
 BLOCK = 4096
 #: Bits of a set's parities, in 64-bit words.
 PARITY_WORDS = 16
-#: Ids up to this number, 16 MB of them, are broadcast to pick their texts.
-FEW_IDS = 1_000_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _TRIPLES = [(h + a, h + b, h + c) for h in (0, 4) for a, b, c in ((0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3))]
 #: Ids of classes that have no doc_id start here.
@@ -91,6 +89,7 @@ def fingerprint(text: str | None) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common.make_room()
     for b in batches:
         found = np.array([fingerprint(t) for t in b.column("text").to_pylist()], dtype="<u8").view("<i8")
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found)], names=["doc_id", "fp"])
@@ -443,11 +442,11 @@ def _verified(pairs: DataFrame, marks: DataFrame, rows: DataFrame, shingle: int,
     near = differ * (s + t) <= (F.col("n_a") + F.col("n_b")) * (s - t)
     pairs = common.written(pairs.distinct().join(mark("a"), "a").join(mark("b"), "b").filter(near).select("a", "b"), "pairs")
     ids = common.written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    ids = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
-    texts = rows.join(ids, "id", "left_semi")
+    texts = common.only(rows, ids, "id")
     of = lambda k: texts.select(F.col("id").alias(k), F.col("text").alias(f"text_{k}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.make_room()
         known: dict[int, np.ndarray] = {}
         for batch in batches:
             good = []
@@ -466,6 +465,7 @@ def frequent(rows: DataFrame, shingle: int) -> np.ndarray:
     """Hashes that many texts have, by a sample; sorted. Their choice bears on the time only, not on the pairs found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.make_room()
         for b in batches:
             yield _batch("key", np.concatenate([np.zeros(0, "<u8"), *(shingles(t, shingle) for t in b.column("text").to_pylist())]).view("<i8"))
 
@@ -502,6 +502,7 @@ def near_copies(rows: DataFrame, shingle: int = WORDS, similarity: str = SIMILAR
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        common.make_room()
         for b in batches:
             sets = [shingles(t, shingle) for t in b.column("text").to_pylist()]
             first = []
@@ -557,4 +558,4 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = found.groupBy("component").agg(F.min("o").alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     drop, path = common.written_at(common.spread_join(found, common.written(groups, "groups"), "component").filter("o <> kept").select("o.id"), "copies")
     common.clear(spark, since, keep=(whole, path))
-    return common.unpacked(rows.join(drop, "id", "left_anti"), docs.columns)
+    return common.unpacked(common.only(rows, drop, "id", "left_anti"), docs.columns)

@@ -134,6 +134,7 @@ def platt(z: np.ndarray, t: np.ndarray, wt: np.ndarray) -> tuple[float, float]:
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common.make_room()
     for b in batches:
         out = [sorted(terms(t)) for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("toxic"), b.column("spot"), pa.array(out, pa.list_(pa.int32()))], names=["toxic", "spot", "terms"])
@@ -178,6 +179,7 @@ def scored(rows: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> D
     common.bound_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.make_room()
         for b in batches:
             found = [machine.score(terms(t)) for t in b.column("text_").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.float64()), pa.array([int(s >= threshold) for s in found], pa.int32())], names=[*b.schema.names[:-1], "score", "predicted"])
