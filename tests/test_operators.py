@@ -190,6 +190,17 @@ def test_arrays_against_numpy(spark):
     assert np.allclose(arrays.svd(rows, "v", 3)[0], np.linalg.svd(a)[1])
 
 
+def test_qr_where_partitions_have_no_rows(spark):
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.random.default_rng(5).normal(size=(9, 3)))], "id long, v array<double>")
+    a = np.array([x.v for x in rows.orderBy("id").collect()])
+    spread = rows.repartitionByRange(4, "id").filter("id < 3 or id > 6")
+    q, r = arrays_more.qr(spark, spread, "id", "v", 3, fan=2)
+    left = np.array([x.v for x in q.orderBy("id").collect()])
+    assert np.allclose(left @ r, np.delete(a, [3, 4, 5, 6], axis=0)) and np.allclose(left.T @ left, np.eye(3))
+    q, r = arrays_more.qr(spark, rows.filter("id < 0"), "id", "v", 3)
+    assert q.count() == 0 and r.shape == (0, 3)
+
+
 def test_bags(spark):
     b = Bag.from_sequence(spark, [3, 1, 2, 2], "long")
     assert [r.value for r in b.topk(2).collect()] == [3, 2] and b.sum().first()[0] == 8 and sorted(b.distinct().take(9)) == [1, 2, 3]

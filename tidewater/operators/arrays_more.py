@@ -273,7 +273,7 @@ def normaltest(c: str) -> Column:
 
 
 def qr(spark: SparkSession, rows: DataFrame, row: str, vector: str, size: int, fan: int = 64) -> tuple[DataFrame, np.ndarray]:
-    """Q (row, vector) and R of a tall matrix of rows, by a tree of small QRs: R of each batch, then of stacks of `fan` Rs.
+    """Q (row, vector) and R of a tall matrix of rows, by a tree of small QRs: R of each partition, then of stacks of `fan` Rs.
 
     As stable as QR itself. Only the last R, size x size, comes to the driver; Q is solved from it row by row.
     """
@@ -285,14 +285,15 @@ def qr(spark: SparkSession, rows: DataFrame, row: str, vector: str, size: int, f
         for b in batches:
             x = np.concatenate([held, np.array(b["x"].tolist(), dtype=float).reshape(-1, size)])
             held = np.linalg.qr(x, mode="r")
-        yield pd.DataFrame({"x": list(held)})
+        if len(held):  # a partition may have no rows, and an empty column has no type of arrays
+            yield pd.DataFrame({"x": list(held)})
 
     data = rows.select(F.col(vector).cast("array<double>").alias("x"))
     parts = data.rdd.getNumPartitions()
     data = data.mapInPandas(stacked, "x array<double>")
     while parts > 1:
         parts = -(-parts // fan)
-        data = data.coalesce(parts).mapInPandas(stacked, "x array<double>")
+        data = data.repartition(parts).mapInPandas(stacked, "x array<double>")
     r = np.linalg.qr(np.array([x[0] for x in data.collect()], dtype=float).reshape(-1, size), mode="r")
     r = r * np.where(np.diag(r) < 0, -1.0, 1.0)[:, None]
     q = apply_gufunc(lambda x: np.linalg.solve(r.T, x.T).T, rows.select(row, F.col(vector).cast("array<double>").alias(vector)), row, vector)
