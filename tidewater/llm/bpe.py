@@ -2,9 +2,9 @@
 
 The encoding of every prefix of a word is determined by its last token: that token starts where some
 shorter prefix ends, and the two tokens that meet there must be such that the merges keep them apart.
-So distinct words are put into a trie of bytes and visited depth first; each node finds its last
-token from those on the path above it, and prefixes that words share are encoded once. A word's ids
-are read back from its node along the last tokens.
+So distinct words are visited as a trie of bytes, depth first, which is their sorted order; each node
+finds its last token from those on the path above it, and prefixes that words share are encoded once.
+Only the path is held. A word's ids are read back from its node along the last tokens.
 
 The results equal those of the tokenizers library for the vocabulary file given, with special tokens
 recognised in the text, nothing added, no truncation and no padding.
@@ -20,7 +20,6 @@ byte-level BPE as described here are refused.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
 import re
@@ -41,8 +40,8 @@ _N = "0-9²³¹¼-¾"
 _LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_WS}{_L}{_N}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _BEYOND = re.compile("[ɐ-\U0010ffff]")
 _ANY = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
-#: Words whose ids a worker keeps, and characters of text that it splits at once.
-CACHE_WORDS, CHUNK_CHARS = 400_000, 2 << 20
+#: Words whose ids a worker keeps, besides those of the texts at hand, and characters of text that it splits at once.
+CACHE_WORDS, CHUNK_CHARS = 100_000, 512 << 10
 #: Longest word that goes into the trie.
 TRIE_BYTES = 1024
 
@@ -105,6 +104,7 @@ class Coder:
         self.longest = max(map(len, self.suffix))
         self.apart: dict[tuple[int, int], bool] = {}
         self.ids: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self._any = None
 
     def merge_up(self, word: bytes) -> list[int]:
@@ -153,57 +153,50 @@ class Coder:
         return found
 
     def walk(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
-        """(word, ids) of distinct words, depth first through their trie."""
-        root: dict = {}
-        for w in words:
-            node, raw = root, w.encode("utf-8", "surrogatepass")
+        """(word, ids) of distinct words, depth first through their trie.
+
+        Sorted words come in that order, each from where it leaves the path of the one before, so that no node is stored.
+        """
+        suffix, longest, apart = self.suffix, self.longest, self.apart
+        last, start, path = [0], [0], b""  # by depth: the prefix's last token and where it starts
+        for w in sorted(words):  # by code points, which is the order of their bytes
+            raw = w.encode("utf-8", "surrogatepass")
             if len(raw) > TRIE_BYTES:
                 yield w, self.line(raw)
                 continue
-            for b in raw:
-                nxt = node.get(b)
-                if nxt is None:
-                    nxt = node[b] = {}
-                node = nxt
-            node[-1] = w
-        suffix, longest, apart = self.suffix, self.longest, self.apart
-        last, start = [0], [0]  # by depth: the prefix's last token and where it starts
-        stack = [(1, b, node, b"") for b, node in root.items()]
-        while stack:
-            depth, byte, node, tail = stack.pop()
-            tail += b"%c" % byte
-            if len(tail) > longest:
-                tail = tail[-longest:]
-            del last[depth:], start[depth:]
-            found, most = [], len(tail)
-            for i in range(1, most + 1):
-                t = suffix.get(tail[-i:])
-                if t is None:
+            shared = 0
+            for x, y in zip(path, raw):
+                if x != y:
                     break
-                if t >= 0:
-                    found.append((i, t))
-            for i, t in reversed(found):
-                s = depth - i
-                if s:
-                    ok = apart.get((last[s], t))
-                    if ok is None:
-                        ok = self.keeps_apart(last[s], t)
-                else:
-                    ok = self.itself(t)
-                if ok:
-                    last.append(t), start.append(s)
-                    break
-            else:
-                raise ValueError("a prefix has no last token: the vocabulary lacks bytes")
-            for b, child in node.items():
-                if b == -1:
-                    out, d = [], depth
-                    while d:
-                        out.append(last[d])
-                        d = start[d]
-                    yield child, out[::-1]
+                shared += 1
+            del last[shared + 1 :], start[shared + 1 :]
+            path = raw
+            for depth in range(shared + 1, len(raw) + 1):
+                found = []
+                for i in range(1, min(longest, depth) + 1):
+                    t = suffix.get(raw[depth - i : depth])
+                    if t is None:
+                        break
+                    if t >= 0:
+                        found.append((i, t))
+                for i, t in reversed(found):
+                    s = depth - i
+                    if s:
+                        ok = apart.get((last[s], t))
+                        if ok is None:
+                            ok = self.keeps_apart(last[s], t)
+                    else:
+                        ok = self.itself(t)
+                    if ok:
+                        last.append(t), start.append(s)
+                        break
                 else:
-                    stack.append((depth + 1, b, child, tail))
+                    raise ValueError("a prefix has no last token: the vocabulary lacks bytes")
+            out, d = [], len(raw)
+            while d:
+                out.append(last[d])
+                d = start[d]
+            yield w, out[::-1]
 
     def line(self, raw: bytes) -> list[int]:
         """The ids of one word, prefix by prefix, without a trie."""
@@ -251,22 +244,20 @@ class Coder:
         return out + self.split(text[at:])
 
     def learn(self, words: set) -> None:
-        """The ids of all these words, in the cache, which is emptied first if it would grow too large."""
-        ids = self.ids
-        missing = [w for w in words if w not in ids]
-        if len(ids) + len(missing) > CACHE_WORDS and ids:
-            ids.clear()
-            missing = list(words)
-        for t in [w for w in missing if isinstance(w, int)]:
-            ids[t] = array("I", [t]).tobytes()
-        collecting = gc.isenabled()
-        gc.disable()  # the trie has many small objects and no cycles
-        try:
-            for w, found in self.walk(w for w in missing if not isinstance(w, int)):
-                ids[w] = array("I", found).tobytes()
-        finally:
-            if collecting:
-                gc.enable()
+        """The ids of all these words, in the cache; when it grows too large, what no text has asked for of late goes."""
+        if len(self.ids) > CACHE_WORDS // 2:
+            self.ids, self.older = {}, self.ids
+        ids, older, missing = self.ids, self.older, []
+        for w in words:
+            if w not in ids:
+                if (found := older.get(w)) is not None:
+                    ids[w] = found
+                elif isinstance(w, int):
+                    ids[w] = array("I", [w]).tobytes()
+                else:
+                    missing.append(w)
+        for w, found in self.walk(missing):
+            ids[w] = array("I", found).tobytes()
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""

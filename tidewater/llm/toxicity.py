@@ -157,7 +157,8 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_
     if len({r[1] for r in sample}) < 2:
         warnings.warn("no labelled document of one class: every score is 0", stacklevel=2)
         return NOTHING
-    picked = spark.createDataFrame([(r[0], r[1]) for r in sample], "doc_id long, toxic int")
+    # by Arrow: rows of Python would start workers of another kind, which stay
+    picked = spark.createDataFrame(pa.table({"doc_id": pa.array([r[0] for r in sample], pa.int64()), "toxic": pa.array([r[1] for r in sample], pa.int32())}))
     # the sample's size is bounded by the two parameters, so it may be broadcast
     spot = F.xxhash64("doc_id", "text", F.lit("row"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("toxic", spot.alias("spot"), "text").mapInArrow(_hashed, "toxic int, spot long, terms array<int>")
