@@ -304,10 +304,10 @@ def similar(x: np.ndarray, y: np.ndarray, least: Fraction) -> bool:
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """The columns of rows sorted by the first one, cut where it changes."""
+    """The columns of rows sorted by the first one, cut where it changes; parities as an array of two dimensions."""
     rest: list[np.ndarray] | None = None
     for b in batches:
-        columns = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        columns = [c.flatten().to_numpy().view("<u8").reshape(-1, PARITY_WORDS) if pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False) for c in b.columns]
         if rest is not None:
             columns = [np.concatenate(p) for p in zip(rest, columns)]
         cut = np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1
@@ -407,40 +407,66 @@ def _first_pairs(least: Fraction):
     return run
 
 
-def _other_pairs(least: Fraction):
-    """Of lists with rows (key, id, n, at, root, asks): pairs of members that ask with any others that no link has joined to them yet."""
+def _other_pairs(least: Fraction, forest: bool):
+    """Of lists with rows (key, id, n, at, root, asks, odd): pairs that can be similar, of members that ask and any others that no link has joined to them yet.
+
+    A guest, which asks in a block that isn't its own (asks = 2), meets the block's members only. forest: as if each pair given
+    were a link; so a list gives fewer pairs than it has roots, an asking member's closest ones first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, *columns in _whole(batches):
+            found = [np.zeros((2, 0), np.int64)]
             for part in np.split(np.arange(len(key)), np.flatnonzero(key[1:] != key[:-1]) + 1):
-                part = part[np.argsort(columns[4][part] == 0, kind="stable")]
-                id_, n, at, root, asks = (c[part] for c in columns)
+                part = part[np.argsort(-columns[4][part], kind="stable")]
+                id_, n, at, root, asks, odd = (c[part] for c in columns)
+                guests, root = int((asks > 1).sum()), root.copy()
                 for i in range(int((asks > 0).sum())):
-                    j = np.arange(i + 1, len(part))
-                    j = j[_may(n, at, i, j, least) & (root[j] != root[i])]
+                    j = np.arange(max(i + 1, guests), len(part))
+                    j = j[root[j] != root[i]]
+                    j = j[_may(n, at, i, j, least)]
+                    differ = np.bitwise_count(odd[j] ^ odd[i]).sum(axis=1, dtype=np.int64)
+                    near = _near(differ, n[i] + n[j], least)
+                    j, differ = j[near], differ[near]
+                    if forest:
+                        j, links = j[np.argsort(differ / (n[i] + n[j]), kind="stable")], []
+                        while len(j):
+                            links.append(j[0])
+                            root[root == root[j[0]]] = root[i]
+                            j = j[root[j] != root[i]]
+                        j = np.array(links, np.int64)
                     if len(j):
-                        yield _batch("a b", np.minimum(id_[i], id_[j]), np.maximum(id_[i], id_[j]))
+                        found.append(np.array([np.minimum(id_[i], id_[j]), np.maximum(id_[i], id_[j])]))
+            yield _batch("a b", *np.unique(np.concatenate(found, axis=1), axis=1))
 
     return run
 
 
+def _near(differ, total, least: Fraction):
+    """Whether sets of `total` elements together, whose parities differ in that many places, can be similar.
+
+    Similar sets of n and m elements differ in at most (1 - s) / (1 + s) (n + m) of them, and in no more parities than elements.
+    """
+    t, s = least.numerator, least.denominator
+    return differ * (s + t) <= total * (s - t)
+
+
 def parities(s: np.ndarray) -> np.ndarray:
     """For each residue of hashes modulo the number of bits, whether the set has an odd number of them."""
     odd = np.bincount((s % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
-def _verified(pairs: DataFrame, marks: DataFrame, rows: DataFrame, shingle: int, least: Fraction) -> DataFrame:
-    """Those of pairs (a, b) whose texts in rows(id, text) are similar.
-
-    Similar sets of n and m elements differ in at most (1 - s) / (1 + s) (n + m) of them, and in no more parities than elements.
-    So pairs whose parities in marks(id, n, odd) differ in more go before any text is fetched.
-    """
+def _alike(pairs: DataFrame, marks: DataFrame, least: Fraction) -> DataFrame:
+    """Those of pairs (a, b) whose parities in marks(id, n, odd) let their sets be similar; the others go before any text is fetched."""
     mark = lambda k: marks.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("odd").alias(f"odd_{k}"))
     differ = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    t, s = least.numerator, least.denominator
-    near = differ * (s + t) <= (F.col("n_a") + F.col("n_b")) * (s - t)
-    pairs = common.written(pairs.distinct().join(mark("a"), "a").join(mark("b"), "b").filter(near).select("a", "b"), "pairs")
+    near = _near(differ, F.col("n_a") + F.col("n_b"), least)
+    return common.written(pairs.distinct().join(mark("a"), "a").join(mark("b"), "b").filter(near).select("a", "b"), "pairs")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, shingle: int, least: Fraction) -> DataFrame:
+    """Those of the written pairs (a, b) whose texts in rows(id, text) are similar."""
     ids = common.written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
     texts = common.only(rows, ids, "id")
     of = lambda k: texts.select(F.col("id").alias(k), F.col("text").alias(f"text_{k}"))
@@ -489,10 +515,12 @@ def near_copies(rows: DataFrame, shingle: int = WORDS, similarity: str = SIMILAR
     with the same set are one class. Pairs are those that the fingerprints' index links, then those that
     differ in more bits: of two similar sets, each in one order of all hashes, the first
     n - ceil(similarity n) + 1 have a hash in common, so that the lists of those hashes, rare ones first,
-    have all pairs. Each is verified, by the parities of the sets first (see _verified), then by the
-    texts. Long lists give only as many pairs as members at first; the rest of their pairs are taken
-    where the links so found haven't joined the two: members outside a list's largest component are held
-    against all. Lists longer than BLOCK meet block by block.
+    have all pairs. Each is verified, by the parities of the sets first (see _near), then by the texts.
+    Long lists give only as many pairs as members at first; of the rest of their pairs those count that
+    the links so found haven't joined: members outside a list's largest component are held against all,
+    by parities where the list is. Of what these leave, each list gives a forest, fewer pairs than it has
+    components; once its links are known, all pairs go on that still lie between two components. Lists
+    longer than BLOCK meet block by block.
     """
     spark, least, since = rows.sparkSession, Fraction(similarity), common.given()
     common.bound_batches(spark)
@@ -516,27 +544,37 @@ def near_copies(rows: DataFrame, shingle: int = WORDS, similarity: str = SIMILAR
     sets = common.written(rows.select("id", "text").mapInArrow(run, "id long, same binary, n long, fp long, odd array<long>, keys array<long>"), "sets")
     marks = sets.select("id", "n", "odd")
     classes = common.written(sets.groupBy("same").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.min("fp").alias("fp")), "classes")
-    near = common.written(_verified(fingerprint_pairs(classes.select("id", "fp")), marks, rows, shingle, least), "near")
+    near = common.written(_verified(_alike(fingerprint_pairs(classes.select("id", "fp")), marks, least), rows, shingle, least), "near")
     at = F.shiftleft(F.col("n"), 32) + F.col("at")
     index = sets.join(classes.select("id"), "id", "left_semi").select("id", "n", F.posexplode("keys").alias("at", "key")).select("key", "id", at.alias("at"))
     by_key = lambda df: df.repartition("key").sortWithinPartitions("key", "id")
     lists = common.written(by_key(index).mapInArrow(_lists(BLOCK), "key long, id long, n long, at long, m long, block long, copy long"), "lists")
     in_blocks = lists.select(F.when(F.col("m") > BLOCK, F.xxhash64("key", "block")).otherwise(F.col("key")).alias("key"), "id", "n", "at")
     found = by_key(in_blocks).mapInArrow(_first_pairs(least), "a long, b long").join(near, ["a", "b"], "left_anti")
-    roots = components(_verified(found, marks, rows, shingle, least).union(near))
+    roots = components(_verified(_alike(found, marks, least), rows, shingle, least).union(near))
     long_lists = lists.filter((F.col("m") > SHORT) & (F.col("copy") == 0))
     blocks = common.written(lists.filter(F.col("m") > BLOCK).groupBy("key").agg((F.max("block") + 1).alias("blocks"), F.count(F.lit(1)).alias("of")), "blocks")
-    if not long_lists.isEmpty():
+    tested = None
+    for forest in (True, False) if not long_lists.isEmpty() else ():
         known = common.written(long_lists.join(roots, "id", "left").select("key", "id", "n", "at", "m", "block", F.coalesce("root", "id").alias("root")), "known")
         # lists that are one component by now are done; of others the members of the largest one have nothing to ask
         largest = known.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("largest"), F.sum("c").alias("of"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").drop("roots")
         asked = common.spread_join(known, common.written(largest, "largest"), "key", "of").withColumn("asks", (F.col("root") != F.col("largest")).cast("long"))
-        short = asked.filter(F.col("m") <= BLOCK).select("key", "id", "n", "at", "root", "asks")
+        asked = asked.join(marks.select("id", "odd"), "id")
+        row = ("id", "n", "at", "root")
+        short = asked.filter(F.col("m") <= BLOCK).select("key", *row, "asks", "odd")
         cut = asked.filter(F.col("m") > BLOCK)
-        home = cut.select(F.xxhash64("key", "block").alias("key"), "id", "n", "at", "root", F.lit(0).cast("long").alias("asks"))
-        guests = common.spread_join(cut.filter("asks = 1"), blocks, "key", "of").withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(F.xxhash64("key", "to").alias("key"), "id", "n", "at", "root", "asks")
-        more = _verified(by_key(short.union(home).union(guests)).mapInArrow(_other_pairs(least), "a long, b long"), marks, rows, shingle, least)
-        roots = components(roots.select(F.col("root").alias("a"), F.col("id").alias("b")).union(more))
+        home = cut.select(F.xxhash64("key", "block").alias("key"), *row, F.lit(0).cast("long").alias("asks"), "odd")
+        guests = common.spread_join(cut.filter("asks = 1"), blocks, "key", "of").withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(F.xxhash64("key", "to").alias("key"), *row, F.lit(2).cast("long").alias("asks"), "odd")
+        pairs = by_key(short.union(home).union(guests)).mapInArrow(_other_pairs(least, forest), "a long, b long").distinct()
+        pairs = common.written(pairs.join(tested, ["a", "b"], "left_anti") if tested else pairs, "pairs")
+        more = common.written(_verified(pairs, rows, shingle, least), "more")
+        n = more.count()
+        if n:
+            roots = components(roots.select(F.col("root").alias("a"), F.col("id").alias("b")).union(more))
+        if n == pairs.count():  # all are links, as the forests took them to be: no list has any others
+            break
+        tested = pairs
     of = classes.join(roots, "id", "left").select("same", F.coalesce("root", "id").alias("component"), "n")
     out, path = common.written_at(common.spread_join(sets.select("id", "same"), of, "same").select("id", "component"), "near-copies")
     common.clear(spark, since, keep=(path,))
