@@ -26,6 +26,7 @@ def _tidied(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         read = docs.inputFiles() if _kept else []
         done = [p for p in _kept if not any(p.rsplit("/", 1)[1] in f for f in read)]
         common.drop(spark, done)
+        common.trim_driver(spark)
         since = common.given()
         out = stage(spark, docs, sf_dir)
         _kept[:] = [p for p in _kept if p not in done] + common.given_since(since)

@@ -49,6 +49,8 @@ WORDS, SIMILARITY = 5, "0.8"
 SHORT, SAMPLED, OFTEN, MOST = 4, 10, 50, 500_000
 #: Members of a list that meet in one task; longer lists are cut into blocks of about so many.
 BLOCK = 4096
+#: Links of the pipeline's stage that are joined in one task; star steps take a dozen plans, which fill the driver's memory.
+FEW_LINKS = 100_000
 #: Bits of a set's parities, in 64-bit words.
 PARITY_WORDS = 16
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -239,10 +241,30 @@ def links(classes: DataFrame, long: int = LONG) -> DataFrame:
     return out.unionByName(by_list(quarter.select(F.xxhash64("key", "q").alias("key"), "fp", "id")))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, root): each linked id with the smallest id of its component."""
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, root) of links (a, b) that are all in one task."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for batch in batches:
+        for a, b in zip(*(c.to_pylist() for c in batch.columns)):
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    ids = np.array([x for x in root if root[x] != x], np.int64)
+    yield _batch("id root", ids, np.array([find(x) for x in ids.tolist()], np.int64))
+
+
+def components(edges: DataFrame, rounds: int = 60, few: int = 0) -> DataFrame:
+    """(id, root): each linked id with the smallest id of its component. Up to `few` links are joined in one task, more by star steps."""
+    common.trim_driver(edges.sparkSession)
     edges = common.written(edges.filter("a <> b").distinct(), "edges")
     before, size = None, edges.count()
+    if size <= few:
+        return common.written(edges.select("a", "b").coalesce(1).mapInArrow(_joined, "id long, root long"), "roots")
 
     def star(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
         if size <= common.HOT_ROWS:  # no centre can have more
@@ -542,6 +564,7 @@ def near_copies(rows: DataFrame, shingle: int = WORDS, similarity: str = SIMILAR
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.array([simhash(s[i : i + 65536] for i in range(0, len(s), 65536)) for s in sets], dtype="<u8").view("<i8")), pa.array([parities(s) for s in sets], pa.list_(pa.int64())), keys], names=["id", "same", "n", "fp", "odd", "keys"])
 
     sets = common.written(rows.select("id", "text").mapInArrow(run, "id long, same binary, n long, fp long, odd array<long>, keys array<long>"), "sets")
+    common.trim_driver(spark)
     marks = sets.select("id", "n", "odd")
     classes = common.written(sets.groupBy("same").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.min("fp").alias("fp")), "classes")
     near = common.written(_verified(_alike(fingerprint_pairs(classes.select("id", "fp")), marks, least), rows, shingle, least), "near")
@@ -551,7 +574,7 @@ def near_copies(rows: DataFrame, shingle: int = WORDS, similarity: str = SIMILAR
     lists = common.written(by_key(index).mapInArrow(_lists(BLOCK), "key long, id long, n long, at long, m long, block long, copy long"), "lists")
     in_blocks = lists.select(F.when(F.col("m") > BLOCK, F.xxhash64("key", "block")).otherwise(F.col("key")).alias("key"), "id", "n", "at")
     found = by_key(in_blocks).mapInArrow(_first_pairs(least), "a long, b long").join(near, ["a", "b"], "left_anti")
-    roots = components(_verified(_alike(found, marks, least), rows, shingle, least).union(near))
+    roots = components(_verified(_alike(found, marks, least), rows, shingle, least).union(near), few=FEW_LINKS)
     long_lists = lists.filter((F.col("m") > SHORT) & (F.col("copy") == 0))
     blocks = common.written(lists.filter(F.col("m") > BLOCK).groupBy("key").agg((F.max("block") + 1).alias("blocks"), F.count(F.lit(1)).alias("of")), "blocks")
     tested = None
@@ -571,7 +594,7 @@ def near_copies(rows: DataFrame, shingle: int = WORDS, similarity: str = SIMILAR
         more = common.written(_verified(pairs, rows, shingle, least), "more")
         n = more.count()
         if n:
-            roots = components(roots.select(F.col("root").alias("a"), F.col("id").alias("b")).union(more))
+            roots = components(roots.select(F.col("root").alias("a"), F.col("id").alias("b")).union(more), few=FEW_LINKS)
         if n == pairs.count():  # all are links, as the forests took them to be: no list has any others
             break
         tested = pairs
